@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidefold.llm.quality import op7_quality
 from tidefold.llm.simhash import op6_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_simhash": op6_simhash,
+        "op7_quality": op7_quality,
     }
 
 
