@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidefold.llm.quality import op7_quality
 from tidefold.llm.simhash import op6_simhash
+from tidefold.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op6_simhash": op6_simhash,
         "op7_quality": op7_quality,
     }
