@@ -118,13 +118,15 @@ def telling_grams(toxic: list[str], ordinary: list[str], z_min: float = 6.0, rat
 
 
 def _train(size: int, samples: list[bytes]) -> bytes:
-    """A zstandard dictionary; where the samples are too few for training, their last bytes."""
+    """A zstandard dictionary of ``size`` bytes; from samples too few for training, the distinct
+    ones themselves, the most frequent last, where matches are cheapest."""
     if sum(map(len, samples)) > 8 * size and len(samples) > 64:
         try:
             return zstd.train_dictionary(size, samples).as_bytes()
         except zstd.ZstdError:
             pass
-    return b"".join(dict.fromkeys(samples))[-size:]
+    counts = Counter(samples)
+    return b"".join(sorted(counts, key=lambda w: (counts[w], w)))[-size:]
 
 
 def fit(rows: list[tuple[str, int, bool]]) -> Model:
@@ -146,7 +148,7 @@ def fit(rows: list[tuple[str, int, bool]]) -> Model:
                     memo[w] = bool(found.search(w))
                 if memo[w]:
                     words.append(w.encode())
-    samples = [b"".join(words[i : i + 4]) for i in range(0, len(words), 4)] or [w for t in toxic for w in windows(t)]
+    samples = words or [w for t in toxic for w in windows(t)]
     plain = [w for t in ordinary for w in windows(t)]
     plain = plain[:: max(1, len(plain) // ORDINARY_WINDOWS)]
     model = Model(_train(TOXIC_BYTES, samples), _train(ORDINARY_BYTES, plain))
@@ -205,7 +207,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
         .where(F.length("text") <= MAX_TRAIN_CHARS)
         .join(F.broadcast(chosen), "_id")  # at most 4,000 ids
-        .withColumn("c", F.pmod(hash_unit(F.col("_id"), "calibrate"), F.lit(3)) == 0)
+        .withColumn("c", F.pmod(hash_unit(F.col("_id"), "calibrate"), F.lit(4)) == 0)
         .select("_id", "text", "y", "c")
         .collect()
     )
