@@ -14,7 +14,7 @@ def test_held_out_quality(spark):
     auc = sum((p > neg).mean() + (p == neg).mean() / 2 for p in pos) / len(pos)
     recall, precision = got[got.toxic == 1].predicted.mean(), got[got.predicted == 1].toxic.mean()
     print("toxicity", auc, recall, precision)
-    assert auc > 0.9 and recall > 0.6 and precision > 0.65  # 300 toxic rows to learn from
+    assert auc > 0.9 and recall > 0.65 and precision > 0.65  # 300 toxic rows to learn from
 
 
 def test_edge_cases_and_folds(spark):
@@ -48,5 +48,5 @@ def test_edge_cases_and_folds(spark):
 
 
 def test_no_both_classes():
-    assert tx.fit([("a b c", 1, False)]).constant == 1.0
+    assert tx.fit([("a b c", 1, 0)]).constant == 1.0
     assert tx.score_one(tx.fit([]), None, "x") == pytest.approx(0.0)

@@ -25,6 +25,8 @@ LEVEL = 9
 TOXIC_BYTES = 8192
 ORDINARY_BYTES = 32768
 ORDINARY_WINDOWS = 40_000
+#: Parts of the sample for cross-calibration.
+PARTS = 3
 #: A window that the toxic dictionary shortens by less than so many bytes counts as unchanged.
 GAIN = 2
 MAX_GAIN = 22
@@ -129,13 +131,9 @@ def _train(size: int, samples: list[bytes]) -> bytes:
     return b"".join(sorted(counts, key=lambda w: (counts[w], w)))[-size:]
 
 
-def fit(rows: list[tuple[str, int, bool]]) -> Model:
-    """Fit on ``(text, toxic, calibrate)`` rows; ``calibrate`` rows set weights and threshold only."""
-    base = [t for t, _, c in rows if not c] or [t for t, _, _ in rows]
-    flag = [y for _, y, c in rows if not c] or [y for _, y, _ in rows]
-    toxic, ordinary = [t for t, y in zip(base, flag) if y], [t for t, y in zip(base, flag) if not y]
-    if not toxic or not ordinary:
-        return Model(b"", b"", constant=float(bool(toxic)))
+def dictionaries(rows: list[tuple[str, int]]) -> Model:
+    """The toxic dictionary from the telling words of toxic documents, the other from ordinary windows."""
+    toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
     grams = telling_grams(toxic, ordinary)
     words: list[bytes] = []
     if grams:
@@ -151,14 +149,27 @@ def fit(rows: list[tuple[str, int, bool]]) -> Model:
     samples = words or [w for t in toxic for w in windows(t)]
     plain = [w for t in ordinary for w in windows(t)]
     plain = plain[:: max(1, len(plain) // ORDINARY_WINDOWS)]
-    model = Model(_train(TOXIC_BYTES, samples), _train(ORDINARY_BYTES, plain))
-    gains = _Gains(model)
-    check = [(t, y) for t, y, c in rows if c]
-    if len({y for _, y in check}) < 2:
-        check = [(t, y) for t, y, _ in rows]
-    found_gains = [gains(t) for t, _ in check]
-    seen = ratios(found_gains, [y for _, y in check])
-    x, y = np.array([features(g, seen) for g in found_gains]), np.array([float(y) for _, y in check])
+    return Model(_train(TOXIC_BYTES, samples), _train(ORDINARY_BYTES, plain))
+
+
+def fit(rows: list[tuple[str, int, int]]) -> Model:
+    """Fit on ``(text, toxic, part)`` rows.
+
+    The window ratios, the weights and the threshold come from documents scored
+    with dictionaries of the other parts; the final dictionaries use all rows.
+    """
+    if len({y for _, y, _ in rows}) < 2:
+        return Model(b"", b"", constant=float(any(y for _, y, _ in rows)))
+    gained, y = [], []
+    for part in sorted({p for _, _, p in rows}):
+        rest = [(t, y) for t, y, p in rows if p != part]
+        if len({y for _, y in rest}) < 2:
+            rest = [(t, y) for t, y, _ in rows]
+        gains = _Gains(dictionaries(rest))
+        gained += [gains(t) for t, _, p in rows if p == part]
+        y += [float(f) for _, f, p in rows if p == part]
+    model, seen, y = dictionaries([(t, f) for t, f, _ in rows]), ratios(gained, y), np.array(y)
+    x = np.array([features(g, seen) for g in gained])
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-6] + [0.05] * (x.shape[1] - 1))
     for _ in range(40):
@@ -207,7 +218,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
         .where(F.length("text") <= MAX_TRAIN_CHARS)
         .join(F.broadcast(chosen), "_id")  # at most 4,000 ids
-        .withColumn("c", F.pmod(hash_unit(F.col("_id"), "calibrate"), F.lit(4)) == 0)
+        .withColumn("c", F.pmod(hash_unit(F.col("_id"), "part"), F.lit(PARTS)).cast("int"))
         .select("_id", "text", "y", "c")
         .collect()
     )
