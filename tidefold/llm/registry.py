@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidefold.llm.packing import op3_packing
 from tidefold.llm.quality import op7_quality
 from tidefold.llm.simhash import op6_simhash
 from tidefold.llm.toxicity import op1_toxicity
@@ -14,6 +15,7 @@ from tidefold.llm.toxicity import op1_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op3_packing": op3_packing,
         "op6_simhash": op6_simhash,
         "op7_quality": op7_quality,
     }
