@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidefold.llm.packing import op3_packing
 from tidefold.llm.quality import op7_quality
 from tidefold.llm.simhash import op6_simhash
+from tidefold.llm.substring import op5_substring
 from tidefold.llm.toxicity import op1_toxicity
 
 
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op3_packing": op3_packing,
+        "op5_substring": op5_substring,
         "op6_simhash": op6_simhash,
         "op7_quality": op7_quality,
     }
