@@ -11,6 +11,7 @@ from tidefold.llm.quality import op7_quality
 from tidefold.llm.simhash import op6_simhash
 from tidefold.llm.substring import op5_substring
 from tidefold.llm.toxicity import op1_toxicity
+from tidefold.llm.warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_substring": op5_substring,
         "op6_simhash": op6_simhash,
         "op7_quality": op7_quality,
+        "op8_warc": op8_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": OP8_SQL}
