@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidefold.llm.chat import op4_chat
 from tidefold.llm.packing import op3_packing
 from tidefold.llm.quality import op7_quality
 from tidefold.llm.simhash import op6_simhash
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op3_packing": op3_packing,
+        "op4_chat": op4_chat,
         "op5_substring": op5_substring,
         "op6_simhash": op6_simhash,
         "op7_quality": op7_quality,
