@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidefold.llm.chat import op4_chat
+from tidefold.llm.lines import OP9_SQL, op9_lines
 from tidefold.llm.packing import op3_packing
 from tidefold.llm.quality import op7_quality
 from tidefold.llm.simhash import op6_simhash
@@ -24,8 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op7_quality": op7_quality,
         "op8_warc": op8_warc,
+        "op9_lines": op9_lines,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    return {"op8_warc": OP8_SQL, "op9_lines": OP9_SQL}
