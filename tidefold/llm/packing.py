@@ -155,5 +155,9 @@ def with_digest(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return pieces.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_of(docs: DataFrame) -> DataFrame:
+    return with_digest(pack_documents(docs.select("doc_id", "text")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_digest(pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return op3_of(table(spark, sf_dir, "documents"))

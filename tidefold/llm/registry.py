@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidefold.llm.chat import op4_chat
+from tidefold.llm.decontaminate import op10_decontaminate
 from tidefold.llm.lines import OP9_SQL, op9_lines
 from tidefold.llm.packing import op3_packing
 from tidefold.llm.quality import op7_quality
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": op7_quality,
         "op8_warc": op8_warc,
         "op9_lines": op9_lines,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
