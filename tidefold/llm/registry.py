@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidefold.llm.chat import op4_chat
 from tidefold.llm.decontaminate import op10_decontaminate
+from tidefold.llm.html import op2_html
 from tidefold.llm.lines import OP9_SQL, op9_lines
 from tidefold.llm.packing import op3_packing
 from tidefold.llm.quality import op7_quality
@@ -20,6 +21,7 @@ from tidefold.llm.warc import OP8_SQL, op8_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_html": op2_html,
         "op3_packing": op3_packing,
         "op4_chat": op4_chat,
         "op5_substring": op5_substring,
