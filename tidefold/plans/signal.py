@@ -12,7 +12,6 @@ from tidefold.plans import sqlparts as q
 from tidefold.plans.registry import register
 from tidefold.plans.sqlparts import LADDER, NH, PARAMS, R_HI, R_LO, T, r6
 
-OBS = F.lit("all")
 
 
 def rd(c: str | Column, name: str | None = None) -> Column:
