@@ -220,3 +220,26 @@ def test_spectrum_pages_round_trip(spark):
     assert np.allclose(spec.re[1:] + 1j * spec.im[1:], want[1:32]) and np.allclose([spec.re[0], spec.im[0]], [want[0].real, want[32].real])
     pages = spectrum.paged(spectrum.spectrum(series, 64), 10).orderBy("page").toPandas()
     assert np.allclose(np.concatenate(pages.re.tolist()), spec.re)
+
+
+def test_fft_grid_equals_the_point_kernel(spark):
+    from tidefold.operators import fftgrid
+
+    rnd = np.random.default_rng(10)
+    x = rnd.standard_normal(40) + 1j * rnd.standard_normal(40)
+    got = fftgrid.fine_amplitudes(x, 24, 4, 16)
+    for length in (160, 200, 331):
+        assert np.allclose(fftgrid.fine_amplitudes(x, 24, 4, 16, length), got, atol=1e-12)
+    j = np.arange(-7, 9)
+    for g in (0, 1, 50, 95):
+        fl, dr = 8 + g // 4, (g % 4) / 4
+        want = (x[fl + j] * np.conj(np.sinc(dr - j) * np.exp(1j * np.pi * (dr - j)))).sum()
+        assert abs(got[g] - want) < 1e-10
+
+
+def test_normalized_search_still_detects(spark):
+    n = 1 << 12
+    spec = synthetic(spark, n, base=50, amp=20.0)
+    params = SearchParams(nharms=8, blocksize=300, decimations=(1, 2))
+    out = search.search_normalized(spec, params, 30.0, 120.0, n // 2, 1000.0, threshold=8.0, windows=3).toPandas()
+    assert len(out) and min(abs(out.loc[out.metric.idxmax()].r - x) for x in (25, 50, 100)) < 1.1

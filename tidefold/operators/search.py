@@ -112,6 +112,21 @@ def trial_metrics(spec: DataFrame, params: SearchParams, r_lo: float, r_hi: floa
     return pages.join(need, "page").groupBy("obs", "block").applyInArrow(run, _OUT)
 
 
+def search_normalized(spec: DataFrame, params: SearchParams, r_lo: float, r_hi: float, n_half: int, t_span: float, threshold: float | None = None, windows: int = 16, page_bins: int = PAGE_BINS) -> DataFrame:
+    """Two passes: the metric's location and spread per fold and frequency window, then candidates by the normalised metric.
+
+    The model is a few numbers a window; the trials are scored again rather than kept.
+    """
+    from tidefold.operators import stats
+
+    def windowed() -> DataFrame:
+        return stats.with_window(trial_metrics(spec, params, r_lo, r_hi, n_half, page_bins=page_bins), params, t_span, r_lo, r_hi, windows)
+
+    scored = stats.normalized_metrics(windowed(), stats.metric_norm(windowed()))
+    limit = params.threshold if threshold is None else threshold
+    return scored.where(F.col("z") > limit).select("obs", (F.col("r") / F.lit(t_span)).alias("freq"), F.col("z").alias("metric"), "r", "nharm")
+
+
 def search(spec: DataFrame, params: SearchParams, r_lo: float, r_hi: float, n_half: int, t_span: float, threshold: float | None = None, page_bins: int = PAGE_BINS) -> DataFrame:
     """Candidates ``(obs, freq, metric, r, nharm)`` of all decimations above the threshold, before any collapse."""
     limit = params.threshold if threshold is None else threshold

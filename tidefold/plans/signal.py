@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.functions.columns import array_median, rotated_to_peak
-from tidefold.operators import fold, interp, metric, search, spectrum
+from tidefold.operators import fftgrid, fold, interp, metric, search, spectrum
 from tidefold.params import boxcar_widths
 from tidefold.plans import sqlparts as q
 from tidefold.plans.registry import register
@@ -134,6 +134,14 @@ def _(spark, sf):
     return interp.linear_interp(at, fine, GRID_LO, GRID_BINS, BETWEEN, ["vec_id"]).select("vec_id", rd("re"), rd("im"))
 
 
+@register(
+    "interp_grid_fft",
+    f"WITH {q.SPEC},g0 AS (SELECT range AS g, {GRID_LO} + range / {float(BETWEEN)}::DOUBLE AS rh FROM range({GRID_BINS * BETWEEN})),{q.amplitudes('g0', 16, 'g')} SELECT g, {r6('re')} AS re, {r6('im')} AS im FROM amp",
+)
+def _(spark, sf):
+    return fftgrid.fine_grid_fft(event_spectrum(spark, sf), GRID_LO, GRID_BINS, BETWEEN, 16).select("g", rd("re"), rd("im"))
+
+
 @register(
     "harmonic_guard",
     f"""WITH n AS (SELECT count(*) AS n FROM events),{q.trials(2.0, 400.0)},

@@ -11,6 +11,7 @@ from tidefold.plans import sqlparts as q
 from tidefold.plans.registry import register
 from tidefold.plans.signal import event_spectrum, metrics, rd, table
 from tidefold.plans.sqlparts import LADDER, NH, R_HI, R_LO, T, r6
+from tidefold.sources import writers
 
 WINDOWS = 3
 LO, HI, NB = 0.0, 64.0, 3200
@@ -97,6 +98,25 @@ def _(spark, sf):
     return out.select("k", "win", "ntrials", "nblocks", *(rd(c) for c in ("vmin", "vmax", "vmean", "vstd", "overflow", *FAP)))
 
 
+@register(
+    "histogram_dump",
+    f"""{MET},{hist_sql("met", "k", "h")}, i AS (SELECT * FROM h WHERE bin BETWEEN 0 AND {NB - 1}), e AS (SELECT k, min(bin) AS lo, max(bin) AS hi FROM i GROUP BY k),
+s AS (SELECT k, unnest(range(lo, hi + 1)) AS bin FROM e) SELECT s.k, {r6(f"{LO} + (s.bin + 0.5::DOUBLE) * {(HI - LO) / NB}::DOUBLE")} AS x, coalesce(n, 0)::BIGINT AS n FROM s LEFT JOIN i ON i.k = s.k AND i.bin = s.bin""",
+)
+def _(spark, sf):
+    return writers.histogram_dump(stats.histogram(ladder(spark, sf), ["k"]), ["k"]).select("k", rd("x"), "n")
+
+
+@register(
+    "fap_drift",
+    f"""{MET},{WIN},{hist_sql("wmet", "k, win", "h")},{quant_sql("h", "k, win", {"fap1": 0.9, "fap2": 0.99}, "qq")}
+SELECT k, {r6("min(fap1)")} AS fap1_min, {r6("max(fap1)")} AS fap1_max, {r6("min(fap2)")} AS fap2_min, {r6("max(fap2)")} AS fap2_max FROM qq GROUP BY k""",
+)
+def _(spark, sf):
+    out = writers.drift(stats.summary(windowed(spark, sf), ["k", "win"], (0.1, 0.01)))
+    return out.select("k", *(rd(c) for c in ("fap1_min", "fap1_max", "fap2_min", "fap2_max")))
+
+
 NORM = f"""{MET},{WIN},{hist_sql("wmet", "k, win", "hw")},{hist_sql("met", "k", "hk")},{quant_sql("hw", "k, win", {"loc": 0.5, "up": 0.8413}, "qw")},{quant_sql("hk", "k", {"loc": 0.5, "up": 0.8413}, "qk")},
 nw AS (SELECT k, win, count(*) AS n FROM wmet GROUP BY k, win),
 norm AS (SELECT w.k, w.win, CASE WHEN n >= 1000 AND w.up > w.loc THEN w.loc ELSE g.loc END AS loc,
