@@ -75,6 +75,13 @@ def test_crowded_way_gives_the_same_groups(spark):
     assert out[0] == out[1] and out[0]
 
 
+def test_rows_without_an_id_are_kept_apart(spark):
+    text = [" ".join(f"{c}{i}" for i in range(90)) for c in "abc"]
+    df = spark.createDataFrame([(None, text[0]), (None, text[1]), (None, text[1]), (4, text[2]), (None, text[2]), (9, text[2])], "doc_id long, text string")
+    got = sorted(map(tuple, simhash.drop_near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, text[0]), (None, text[1]), (4, text[2])], key=str)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_components(df).collect() == []

@@ -62,15 +62,16 @@ def _masks() -> list[int]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(id, fp long)``, one row per input row; the text itself goes no further."""
+    """``(id, rk, fp long)``, one row per input row; ``rk`` is a hash of id and text, the text itself goes no further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [_signed(fingerprint(t, shingle)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            fps = [_signed(fingerprint(t, shingle)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["id", "rk", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, rk bigint, fp bigint")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -107,6 +108,13 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def rooted(prints: DataFrame) -> DataFrame:
+    """``(fp, root)``: the smallest fingerprint reachable from each distinct one."""
+    distinct = stored(prints.select("fp").distinct(), "distinct")
+    nodes = connected_components(links(distinct))
+    return distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(<id_col>, fingerprint, component_id)``, one row per input row.
 
@@ -118,11 +126,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fingerprints are merged before anything is paired, so copies cost one row.
     """
     prints = stored(fingerprints(docs, id_col, text_col), "prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    nodes = connected_components(links(distinct.select("fp")))
-    rooted = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = rooted.join(lowest, "root").select("fp", "component_id")
+    roots = stored(rooted(prints), "roots")
+    low = prints.groupBy("fp").agg(F.min("id").alias("low"))
+    lowest = roots.join(low, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
+    member = roots.join(lowest, "root").select("fp", "component_id")
     return prints.join(member, "fp").select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -133,16 +140,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays, with all its columns: the one of the smallest id.
 
-    ``id_col`` is the key: of rows that repeat a kept id one stays.
+    Null ids come last; of rows with equal id and text one stays.
     """
-    kept = (
-        simhash_components(docs, id_col, text_col)
-        .where(F.col(id_col).eqNullSafe(F.col("component_id")))
-        .select(F.col(id_col).alias("_kept_id"))
-        .distinct()
-    )
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return out.dropDuplicates([id_col])
+    prints = stored(fingerprints(docs, id_col, text_col), "prints")
+    roots = stored(rooted(prints), "roots")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rk")).alias("first")
+    by_print = prints.groupBy("fp").agg(first)  # copies are reduced before they meet
+    kept = roots.join(by_print, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rk").alias("_rk"))
+    out = docs.withColumn("_rk", F.xxhash64(id_col, text_col)).join(kept, "_rk", "left_semi")
+    return out.dropDuplicates(["_rk"]).drop("_rk")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
