@@ -15,24 +15,20 @@ def islands(df: DataFrame, value: str, keys: list[str], breaks, band: Column, ti
     """
     given = df.where(F.col(value).isNotNull()).withColumn("_band", band)
     inner = Window.partitionBy(*keys, "_band").orderBy(value, *ties)
-    marked = given.withColumn("_prev", F.lag(value).over(inner))
-    marked = marked.withColumn("_first", F.col("_prev").isNull())
-    ends = given.groupBy(*keys, "_band").agg(F.max(value).alias("_hi"), F.min(value).alias("_lo"))
+    prev = given.withColumn("_prev", F.lag(value).over(inner))
+    step = F.when(F.col("_prev").isNull(), F.lit(0)).otherwise(breaks(F.col("_prev"), F.col(value)).cast("int"))
+    marked = prev.withColumn("_step", step)
     across = Window.partitionBy(*keys).orderBy("_band") if keys else Window.partitionBy(F.lit(0)).orderBy("_band")
-    ends = ends.withColumn("_before", F.lag("_hi").over(across))
-    opened = F.coalesce(breaks(F.col("_before"), F.col("_lo")), F.lit(True))
-    step = F.when(F.col("_first"), F.lit(0)).otherwise(breaks(F.col("_prev"), F.col(value)).cast("int"))
-    marked = marked.withColumn("_step", step)
-    totals = marked.groupBy(*keys, "_band").agg(F.sum("_step").alias("_n"))
-    on = [*keys, "_band"]
+    bands = marked.groupBy(*keys, "_band").agg(F.max(value).alias("_hi"), F.min(value).alias("_lo"), F.sum("_step").alias("_n"))
+    opened = F.coalesce(breaks(F.lag("_hi").over(across), F.col("_lo")), F.lit(True)).cast("int")
     offsets = (
-        _join(ends.withColumn("_open", opened.cast("int")), totals, on)
+        bands.withColumn("_open", opened)
         .withColumn("_base", F.sum("_open").over(across) + F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select(*on, "_base")
+        .select(*keys, "_band", "_base")
     )
     within = inner.rowsBetween(Window.unboundedPreceding, 0)
     numbered = marked.withColumn("_in", F.sum("_step").over(within))
-    return _join(numbered, offsets, on).withColumn("_island", F.col("_in") + F.col("_base")).drop("_band", "_prev", "_first", "_step", "_in", "_base")
+    return _join(numbered, offsets, [*keys, "_band"]).withColumn("_island", F.col("_in") + F.col("_base")).drop("_band", "_prev", "_step", "_in", "_base")
 
 
 def _join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidefold.functions.columns import array_median
 from tidefold.operators.islands import islands
 
 # Scoring weights: fixed values that the ranking is defined by.
@@ -111,14 +112,14 @@ def signals(dets: DataFrame, cross_tol: float, step: DataFrame, long_period_ms:
     rank = F.row_number().over(Window.partitionBy("cluster", "obs").orderBy(F.desc("best_snr"), "freq"))
     best = near.withColumn("_rank", rank).where("_rank = 1")
     broad = F.col("full_span") & F.col("peak_at_edge") & (F.col("period_ms") < long_period_ms)
-    dms = F.array_sort(F.collect_list("best_dm"))
+    dms = F.array_sort(F.collect_list("best_dm"))  # one entry per observation
     grouped = best.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n_obs"),
         F.sum("best_snr").alias("sum_snr"),
         F.max("best_snr").alias("max_snr"),
         F.max_by(F.struct("freq", "period_ms"), F.struct(F.col("best_snr"), -F.col("freq"))).alias("top"),
         ((F.max("freq") - F.min("freq")) / F.avg("freq")).alias("freq_frac_spread"),
-        F.get(dms, F.floor(F.count(F.lit(1)) / 2).cast("int")).alias("dm_med"),
+        dms.alias("_dms"),
         F.median("ndms").alias("median_ndms"),
         F.median("numharm").alias("numharm_med"),
         F.median("ducy").alias("ducy_med"),
@@ -127,12 +128,14 @@ def signals(dets: DataFrame, cross_tol: float, step: DataFrame, long_period_ms:
         _share(broad).alias("frac_broadband"),
         F.bool_and("full_span").alias("all_full_span"),
     )
-    mad = best.join(grouped.select("cluster", "dm_med"), "cluster").groupBy("cluster").agg(F.median(F.abs(F.col("best_dm") - F.col("dm_med"))).alias("mad"))
+    spread = F.transform("_dms", lambda x: F.abs(x - F.col("dm_med")))
+    outs = [c for c in grouped.columns if c not in ("cluster", "top", "_dms")]
     return (
-        grouped.join(mad, "cluster")
+        grouped.withColumn("dm_med", F.get("_dms", F.floor(F.size("_dms") / 2).cast("int")))  # the upper median
+        .withColumn("mad", array_median(spread))
         .crossJoin(F.broadcast(step))  # one row
         .withColumn("dm_mad_steps", F.when(F.col("step") != 0, F.col("mad") / F.when(F.col("step") != 0, F.col("step"))).otherwise(0.0))
-        .select("cluster", F.col("top.freq").alias("freq"), F.col("top.period_ms").alias("period_ms"), *[c for c in grouped.columns if c not in ("cluster", "top")], "dm_mad_steps")
+        .select("cluster", F.col("top.freq").alias("freq"), F.col("top.period_ms").alias("period_ms"), *outs, "dm_med", "dm_mad_steps")
     )
 
 
