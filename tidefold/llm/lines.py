@@ -23,21 +23,27 @@ MIN_DOCS = 5
 
 
 def _exploded(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
-    """One row per line that has a token: row key, position, tokens, and ``more`` columns of the document."""
+    """One row per line that has a token: row key, position, token count, template text and hashes, and ``more`` of the document.
+
+    Tokens are counted and led by byte operations on the line; no array of them is made.
+    """
     line = F.col("line")
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
+    loose = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    tidy = F.when(loose, F.regexp_replace(F.trim("masked"), " +", " ")).otherwise(F.col("masked"))
+    blanks = F.octet_length("tpl_text") - F.octet_length(F.replace("tpl_text", F.lit(" "), F.lit("")))
     return (
         docs.select(
             F.xxhash64(id_col, text_col).alias("rk"),
             *more,
             F.posexplode(F.split(text_col, "\n")).alias("pos", "line"),
         )
-        .withColumn("tokens", F.array_remove(F.split(masked, " "), ""))
-        .drop("line")
-        .withColumn("n", F.size("tokens"))
-        .where("n > 0")
-        .withColumn("tpl_text", F.array_join("tokens", " "))
-        .withColumn("leaf", F.xxhash64("n", F.array_join(F.slice("tokens", 1, LEADS), " ")))
+        .withColumn("masked", masked)
+        .withColumn("tpl_text", tidy)
+        .drop("line", "masked")
+        .where("tpl_text <> ''")
+        .withColumn("n", blanks + 1)
+        .withColumn("leaf", F.xxhash64("n", F.substring_index("tpl_text", " ", LEADS)))
         .withColumn("tpl", F.xxhash64("tpl_text"))
     )
 
@@ -56,10 +62,19 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .join(lines.select("leaf", "tpl").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("nt")).where("nt > 1"), "leaf")
         .select("leaf", "nt")
     )
+    # one occurrence of each distinct line of those leaves, found without the texts
+    wanted = (
+        lines.groupBy("leaf", "tpl")
+        .agg(F.min(F.struct("rk", "pos")).alias("at"))
+        .join(hot.select("leaf"), "leaf")
+        .groupBy(F.col("at.rk").alias("_rk"))
+        .agg(F.collect_list("at.pos").alias("_wanted"))
+    )
+    owners = docs.withColumn("_rk", F.xxhash64(id_col, text_col)).join(wanted, "_rk")
     distinct = (
-        _exploded(docs, id_col, text_col)
+        _exploded(owners, id_col, text_col, F.col("_wanted"))
+        .where(F.array_contains("_wanted", F.col("pos")))
         .select("leaf", "tpl", "n", "tpl_text")
-        .join(hot.select("leaf"), "leaf", "left_semi")
         .dropDuplicates(["leaf", "tpl"])
     )
     words = stored(distinct.select("leaf", "tpl", "n", F.posexplode(F.split("tpl_text", " ")).alias("at", "token")), "words")
@@ -105,16 +120,22 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     document may lose all its lines and is then empty.
     """
     drops = dropped_lines(docs, id_col, text_col, min_docs).withColumnsRenamed({"rk": "_rk", "drops": "_drops"})
-    lines = F.split(text_col, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drops"))
+    text = F.col(text_col)
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+    def rebuilt(lines):  # a lambda variable, so that the text is split once
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drops"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    shorter = F.get(F.transform(F.array(F.split(text, "\n")), rebuilt), F.lit(0))
     return (
         docs.withColumn("_rk", F.xxhash64(id_col, text_col))
         .join(drops, "_rk", "left")
         .withColumns(
             {
-                "_n_lines": F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(lines)), F.lit(0)).cast("bigint"),
+                "_n_lines": F.coalesce(n_lines, F.lit(0)).cast("bigint"),
                 "_n_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("bigint"),
-                text_col: F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")),
+                text_col: F.when(F.col("_drops").isNull(), text).otherwise(shorter),
             }
         )
         .drop("_rk", "_drops")
