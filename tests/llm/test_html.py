@@ -72,5 +72,6 @@ def test_query_and_edge_cases(spark):
     odd = spark.createDataFrame([(None, "u", one.html), (1, None, None), (2, "v", ""), (1, None, None)], "page_id long, url string, html string").selectExpr("*", "'x' AS text")
     net = h.train_labeller(odd)
     got = h.main_text(odd, net).collect()
-    assert sorted(r._n_chars for r in got)[:3] == [0, 0, 0] and len(got) == 4
+    assert sorted(r.n_chars for r in got)[:3] == [0, 0, 0] and len(got) == 4
+    assert h.main_text(odd, net).columns == ["page_id", "url", "text", "text_", "n_chars"]
     assert h.main_text(odd.limit(0), h.train_labeller(odd.limit(0))).count() == 0

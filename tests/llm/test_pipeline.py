@@ -36,3 +36,24 @@ def test_stages_against_brute_force(spark, tmp_path):
             must = {d for d, t in joined.items() if any(b" ".join(w) in t for w in items.values())}
             assert after.items() <= before.items() and not must & after.keys() and len(after) > 0.8 * len(before)
         docs, before = out, after
+
+
+def test_stages_take_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    some = rows[0]
+    rows += [some, some, (None, some[1], None, None, None), (None, None, None, None, None), (900001, None, "en", "s", 0), (900002, "", None, None, 0)]
+    rows += [(None, " ".join(f"w{i}x" for i in range(90)), None, None, None), (900003, " ".join(f"long{i} words." for i in range(60_000)), None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "1 AS _rk", "2 AS id", "'x' AS _drops", "3 AS fp", "4 AS _n_dropped", "5 AS shard")
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        last = name == "packing"
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        stage(spark, empty, sf).write.parquet(str(tmp_path / f"{name}-empty"))
+        docs, empty = spark.read.parquet(str(tmp_path / name)), spark.read.parquet(str(tmp_path / f"{name}-empty"))
+        assert empty.count() == 0
+        if not last:
+            assert docs.columns[-6:] == ["_rk", "id", "_drops", "fp", "_n_dropped", "shard"]
+            assert docs.where("doc_id = 900003").count() == 1 or name != "quality"
+    assert docs.count() > 0

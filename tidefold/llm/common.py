@@ -49,3 +49,11 @@ def fold_of(doc_id: Column) -> Column:
 def hash_unit(c: Column, salt: str) -> Column:
     """A deterministic pseudo-random order for bounded training samples."""
     return F.xxhash64(F.lit(salt), c)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so (case is ignored, as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

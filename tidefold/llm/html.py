@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidefold.llm.common import hash_unit, table
+from tidefold.llm.common import fresh, hash_unit, table
 
 #: Bounds of the training sample, and of one training sequence.
 TRAIN_PAGES = 300
@@ -473,14 +474,16 @@ def extract(network: Network, pages: list[str | None]) -> list[str]:
     return ["\n".join(b.text for b, s in zip(bs, ss) if s >= 0.5) for bs, ss in zip(found, scores)]
 
 
-def main_text(pages: DataFrame, network: Network, html_col: str = "html") -> DataFrame:
-    """``pages`` with the html replaced by ``text``, and ``n_chars``: its code points.
+def main_text(pages: DataFrame, network: Network, html_col: str = "html", out_cols: tuple[str, str] = ("text", "n_chars")) -> DataFrame:
+    """``pages`` without the html, and with the main text and its code points as ``out_cols`` (underscores are added to taken names).
 
     One row per input row.  Null or empty html, and pages without main text, give
     an empty text; all other columns, null ids and repeated rows pass through.
     """
     names = [c for c in pages.columns if c != html_col]
-    schema = pages.select(*names).schema.add("_text", "string").add("_n_chars", "long")
+    rest = pages.select(*names)
+    outs = [fresh(rest, c) for c in out_cols]
+    schema = StructType([*rest.schema.fields, StructField(outs[0], StringType()), StructField(outs[1], LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -489,7 +492,7 @@ def main_text(pages: DataFrame, network: Network, html_col: str = "html") -> Dat
                 texts = extract(network, part.column(len(names)).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(len(names))), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
-                    [*names, "_text", "_n_chars"],
+                    [*names, *outs],
                 )
 
     return pages.select(*names, html_col).mapInArrow(run, schema)
@@ -497,4 +500,4 @@ def main_text(pages: DataFrame, network: Network, html_col: str = "html") -> Dat
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return main_text(pages, train_labeller(pages)).withColumnsRenamed({"_text": "text", "_n_chars": "n_chars"})
+    return main_text(pages, train_labeller(pages))

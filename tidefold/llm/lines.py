@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import stored, table
+from tidefold.llm.common import fresh, stored, table
 
 LEADS = 3
 #: Tenths of the positions that have to agree.
@@ -55,6 +55,7 @@ def _in_documents(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``(rk, drops array<int>)``: positions of the lines to drop, for each row key that has any."""
+    docs = docs.select(id_col, text_col)
     keys = (F.xxhash64(text_col).alias("content"), F.col(id_col).alias("id"))
     lines = stored(_exploded(docs, id_col, text_col, *keys).select("rk", "id", "content", "pos", "leaf", "tpl"), "lines")
     hot = (
@@ -111,34 +112,35 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with recurring lines dropped, and ``_n_lines`` and ``_n_dropped``.
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, counts: tuple[str, str] = ("_n_lines", "_n_dropped")) -> DataFrame:
+    """``docs`` with recurring lines dropped, and the columns ``counts`` of lines and dropped lines.
 
     A recurring template keeps its first occurrence (smallest id, then position;
     null ids last).  Lines without a token stay.  A null text stays null with no
     lines; an empty text has one line; repeated rows get the same text; a
     document may lose all its lines and is then empty.
     """
-    drops = dropped_lines(docs, id_col, text_col, min_docs).withColumnsRenamed({"rk": "_rk", "drops": "_drops"})
+    rk, gone = fresh(docs, "_rk"), fresh(docs, "_drops")
+    drops = dropped_lines(docs, id_col, text_col, min_docs).withColumnsRenamed({"rk": rk, "drops": gone})
     text = F.col(text_col)
     n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
     def rebuilt(lines):  # a lambda variable, so that the text is split once
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drops"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
     shorter = F.get(F.transform(F.array(F.split(text, "\n")), rebuilt), F.lit(0))
     return (
-        docs.withColumn("_rk", F.xxhash64(id_col, text_col))
-        .join(drops, "_rk", "left")
+        docs.withColumn(rk, F.xxhash64(id_col, text_col))
+        .join(drops, rk, "left")
         .withColumns(
             {
-                "_n_lines": F.coalesce(n_lines, F.lit(0)).cast("bigint"),
-                "_n_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("bigint"),
-                text_col: F.when(F.col("_drops").isNull(), text).otherwise(shorter),
+                counts[0]: F.coalesce(n_lines, F.lit(0)).cast("bigint"),
+                counts[1]: F.coalesce(F.size(gone), F.lit(0)).cast("bigint"),
+                text_col: F.when(F.col(gone).isNull(), text).otherwise(shorter),
             }
         )
-        .drop("_rk", "_drops")
+        .drop(rk, gone)
     )
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import stored, table
+from tidefold.llm.common import fresh, stored, table
 from tidefold.llm.components import connected_components
 
 SEED = 42
@@ -142,13 +142,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null ids come last; of rows with equal id and text one stays.
     """
+    rk = fresh(docs, "_rk")
     prints = stored(fingerprints(docs, id_col, text_col), "prints")
     roots = stored(rooted(prints), "roots")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rk")).alias("first")
     by_print = prints.groupBy("fp").agg(first)  # copies are reduced before they meet
-    kept = roots.join(by_print, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rk").alias("_rk"))
-    out = docs.withColumn("_rk", F.xxhash64(id_col, text_col)).join(kept, "_rk", "left_semi")
-    return out.dropDuplicates(["_rk"]).drop("_rk")
+    kept = roots.join(by_print, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rk").alias(rk))
+    out = docs.withColumn(rk, F.xxhash64(id_col, text_col)).join(kept, rk, "left_semi")
+    return out.dropDuplicates([rk]).select(docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import stored, table
+from tidefold.llm.common import fresh, stored, table
 
 #: A cut is the first smallest hash within so many bytes on either side: chunks
 #: are longer than this, and 2 * RADIUS + 1 bytes on average.
@@ -147,10 +147,11 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
 
     Cuts are byte ranges at chunk borders moved inwards to code point borders.
     """
+    cut_id = fresh(docs, "_cut_id")
     ranges = (
         passages.where(F.col(id_col) != F.col("first_doc_id"))
-        .groupBy(F.col(id_col).alias("_cut_id"))
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+        .groupBy(F.col(id_col).alias(cut_id))
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(fresh(docs, "_cuts")))
     )
     names = docs.columns
     at = names.index(text_col)
@@ -170,7 +171,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    joined = docs.join(ranges, docs[id_col] == ranges["_cut_id"], "left").drop("_cut_id")
+    joined = docs.join(ranges, docs[id_col] == ranges[cut_id], "left").drop(cut_id)
     return joined.mapInArrow(run, docs.schema)
 
 
