@@ -41,14 +41,25 @@ class BM25:
         self.owner = owner[order]
         self.weight = tf[order] * (K1 + 1) / (tf[order] + norm[self.owner]) * np.repeat(idf, df)
         self.n = n
+        # long posting lists are kept as rows of a matrix, which a product adds up faster
+        frequent = np.flatnonzero(df > n // 8)
+        self.row = np.full(len(df), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        long = self.row[np.repeat(np.arange(len(df)), df)]
+        self.rows = np.zeros((len(frequent), n))
+        self.rows[long[long >= 0], self.owner[long >= 0]] = self.weight[long >= 0]
 
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of every document of the shard for the terms of ``doc``."""
         at = np.searchsorted(self.vocabulary, self.terms[doc])
+        row = self.row[at]
+        present = np.zeros(len(self.rows))
+        present[row[row >= 0]] = 1
+        at = at[row < 0]
         size = self.df[at]
         ends = np.cumsum(size)
-        postings = np.arange(ends[-1]) + np.repeat(self.start[at] - (ends - size), size)
-        return np.bincount(self.owner[postings], self.weight[postings], self.n)
+        postings = np.arange(size.sum()) + np.repeat(self.start[at] - (ends - size), size)
+        return present @ self.rows + np.bincount(self.owner[postings], self.weight[postings], self.n)
 
 
 def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
