@@ -72,3 +72,17 @@ def test_edge_cases_and_cutting(spark):
     assert texts[1] == before[1] and texts[0] == before[0] and len(texts[3]) < len(before[3]) - 150
     assert texts[3].split()[:60] == before[3].split()[:60]
     assert ss.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_neighbouring_passages_of_different_documents(spark):
+    rnd = random.Random(3)
+    a, b, c = (words(rnd, 60) for _ in range(3))
+    own = lambda: words(rnd, 80)
+    rows = [(1, own() + a + own()), (5, own() + a + b + own()), (9, own() + b + own()), (12, own() + a + b + c + own()), (20, own() + c + own())]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    got = ss.repeated_passages(df)
+    assert {(r.doc_id, r.first_doc_id) for r in got.collect()} >= {(1, 1), (5, 1), (5, 5), (9, 5), (12, 1), (12, 5), (12, 12), (20, 12)}
+    texts = {r.doc_id: r.text for r in ss.cut_passages(df, got).collect()}
+    for part, keeper in ((a, 1), (b, 5), (c, 12)):  # the middle of each passage stays once, where it came first
+        middle = " ".join(part[25:35])
+        assert [i for i, t in sorted(texts.items()) if middle in t] == [keeper]

@@ -110,10 +110,13 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(<id_col>, start, end, n_chunks, n_words, first_doc_id)``: passages found in two or more documents.
 
-    One row per longest run of chunks whose digests another document has too,
-    if it has ``min_words`` words; ``start`` and ``end`` are byte positions in the
-    UTF-8 text and ``first_doc_id`` is the smallest id that shares a chunk of the
-    run (its own row is the occurrence to keep).  Null ids are left out, null and
+    Longest runs of chunks whose digests other documents have too are repeated if
+    they have ``min_words`` words; a run has one row for each part whose chunks have
+    the same smallest owner, so the parts' ``n_words`` may be fewer.  (A single short
+    chunk of another owner at an end of a run is the border of the passage and has no row:
+    the first occurrence may be cut elsewhere there.)  ``start`` and
+    ``end`` are byte positions in the UTF-8 text; ``first_doc_id`` has all chunks of the
+    part and is the smallest id that has any (its own row is the occurrence to keep).  Null ids are left out, null and
     empty texts have no chunks, and repeated rows of one id count once.  The
     digests are aggregated before they are joined back, so a passage that very
     many documents share costs one row per task, not a group.
@@ -127,9 +130,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     hits = rows.join(shared, "digest").dropDuplicates(["id", "idx"])
     by_doc = Window.partitionBy("id").orderBy("idx")
-    runs = (
+    apart = F.coalesce(F.col("low") != F.lag("low").over(by_doc), F.lit(True)) | (F.col("idx") != F.lag("idx").over(by_doc) + 1)
+    parts = (
         hits.withColumn("run", F.col("idx") - F.row_number().over(by_doc))
-        .groupBy("id", "run")
+        .withColumn("apart", apart.cast("int"))
+        .withColumn("part", F.sum("apart").over(by_doc))
+        .groupBy("id", "run", "part")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
@@ -137,21 +143,36 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             F.sum("words").alias("n_words"),
             F.min("low").alias("first_doc_id"),
         )
-        .where(F.col("n_words") >= min_words)
+    )
+    by_run = Window.partitionBy("id", "run")
+    border = (F.col("n_chunks") == 1) & (F.col("n_words") < min_words) & F.col("part").isin(F.col("first"), F.col("last")) & (F.col("longest") > 1)
+    runs = (
+        parts.withColumns(
+            {
+                "run_words": F.sum("n_words").over(by_run),
+                "first": F.min("part").over(by_run),
+                "last": F.max("part").over(by_run),
+                "longest": F.max("n_chunks").over(by_run),
+            }
+        )
+        .where(F.col("run_words") >= min_words)
+        .where(~border)
     )
     return runs.select(F.col("id").alias(id_col), "start", "end", "n_chunks", "n_words", "first_doc_id")
 
 
-def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the passages whose first occurrence is in another document.
 
-    Cuts are byte ranges at chunk borders moved inwards to code point borders.
+    Every chunk stays in the document of its smallest id.  Cuts that touch are one,
+    and one of fewer than ``min_words`` words is left out.  Cuts are byte ranges at
+    chunk borders moved inwards to code point borders.
     """
     cut_id = fresh(docs, "_cut_id")
     ranges = (
         passages.where(F.col(id_col) != F.col("first_doc_id"))
         .groupBy(F.col(id_col).alias(cut_id))
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(fresh(docs, "_cuts")))
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "n_words"))).alias(fresh(docs, "_cuts")))
     )
     names = docs.columns
     at = names.index(text_col)
@@ -162,17 +183,24 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
             for text, gone in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist()):
                 if text and gone:
                     raw, kept, pos = text.encode(), [], 0
+                    joined = []
                     for g in gone:
-                        kept.append(raw[pos : g["start"]])
-                        pos = g["end"]
+                        if joined and joined[-1][1] == g["start"]:
+                            joined[-1][1:] = g["end"], joined[-1][2] + g["n_words"]
+                        else:
+                            joined.append([g["start"], g["end"], g["n_words"]])
+                    for start, end, n in joined:
+                        if n >= min_words:
+                            kept.append(raw[pos:start])
+                            pos = end
                     text = b"".join([*kept, raw[pos:]]).decode(errors="ignore")
                 out.append(text)
             cols = [b.column(i) for i in range(len(names))]
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    joined = docs.join(ranges, docs[id_col] == ranges[cut_id], "left").drop(cut_id)
-    return joined.mapInArrow(run, docs.schema)
+    paired = docs.join(ranges, docs[id_col] == ranges[cut_id], "left").drop(cut_id)
+    return paired.mapInArrow(run, docs.schema)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
