@@ -86,3 +86,38 @@ def test_neighbouring_passages_of_different_documents(spark):
     for part, keeper in ((a, 1), (b, 5), (c, 12)):  # the middle of each passage stays once, where it came first
         middle = " ".join(part[25:35])
         assert [i for i, t in sorted(texts.items()) if middle in t] == [keeper]
+
+
+def test_every_passage_of_51_words_shows_the_minimum():
+    rnd = random.Random(5)
+    makers = [
+        lambda n: words(rnd, n),
+        lambda n: ["".join(rnd.choices("abcde", k=rnd.randint(1, 5))) for _ in range(n)],
+        lambda n: [rnd.choice("abc") for _ in range(n)],
+        lambda n: (["on", "and"] * n)[:n],
+        lambda n: ["same"] * n,
+    ]
+    pairs = []
+    for make in makers:
+        for _ in range(200):
+            passage = make(51)
+            texts = [" ".join(words(rnd, 40) + passage + words(rnd, 40)) for _ in range(2)]
+            (d, s, e, n), (other, *_) = map(ss.chunk_rows, texts)
+            assert s[0] == 0 and e[-1] == len(texts[0].encode()) and (s[1:] == e[:-1]).all() and n.sum() == 131
+            shared, run, best = set(other), 0, 0
+            for x, k in zip(d, n.tolist()):
+                run = run + k if x in shared else 0
+                best = max(best, run)
+            assert best >= ss.MIN_WORDS
+            pairs.append(texts)
+    for one, two in pairs:
+        assert set(ss.seed_rows(one)[0]) & set(ss.seed_rows(two)[0])
+
+
+def test_word_cuts_follow_their_definition():
+    rnd = random.Random(6)
+    for n in (0, 1, 9, 10, 11, 200):
+        h = np.array([rnd.randrange(12) for _ in range(n)], np.uint32)
+        w = ss.WORD_WINDOW
+        want = {max(j for j in range(i, i + w) if h[j] == min(h[i : i + w])) for i in range(n - w + 1)}
+        assert ss.word_cuts(h).tolist() == sorted(want)

@@ -1,4 +1,4 @@
-"""Substring dedup by content-defined chunks: a gear rolling hash, digests, and runs of shared chunks."""
+"""Substring dedup by content-defined chunks: window minima of word hashes, a gear rolling hash, digests, and runs of shared seeds of chunks."""
 
 from __future__ import annotations
 
@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.common import fresh, stored, table
 
-#: A cut is the first smallest hash within so many bytes on either side: chunks
-#: are longer than this, and 2 * RADIUS + 1 bytes on average.
+#: Chunks begin at the words with the smallest hash of any so many neighbouring words, so
+#: none has more words than this.
+WORD_WINDOW = 10
+#: Chunks of more bytes (texts with few blanks) are cut further by the gear hash.
+LONG_CHUNK = 160
+#: A gear cut is the first smallest hash within so many bytes on either side: these
+#: chunks are longer than this, and 2 * RADIUS + 1 bytes on average.
 RADIUS = 20
 #: Bytes the rolling hash depends on (a power of two).
 HASH_BYTES = 16
-#: A run of shared chunks is a repeated passage from so many words on.  Up to
-#: 2 * (2 * RADIUS + 1) + 2 * RADIUS + HASH_BYTES bytes of a passage lie in chunks that
-#: reach over its ends, so a passage of over 50 words shows at least so many.
+#: A seed is so many words or more in neighbouring chunks, and a seed that two documents have
+#: is a repeated passage.  The first and the last window that lie in a passage of n words have
+#: their minima in every copy, so at least n - 2 * WORD_WINDOW words of it are in chunks that all
+#: copies have: 31 of 51, enough for a seed.
 MIN_WORDS = 30
 
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([i]), 7) for i in range(256)], np.uint32)
@@ -66,62 +72,105 @@ def cuts(data: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return np.append(ends[ends < n], n)
 
 
-def chunk_rows(text: str) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit digests, byte starts, byte ends and words (counted at their first byte) of all chunks."""
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """32-bit hashes of the words that begin at ``starts``, of their bytes only."""
+    if not len(starts):
+        return np.array([], np.uint32)
+    inside = np.arange(len(data)) - np.repeat(np.append(0, starts), np.diff(np.concatenate(([0], starts, [len(data)]))))
+    mixed = np.where(_SPACE[data], np.uint32(0), _GEAR[data] * (2 * inside + 1).astype(np.uint32))
+    h = np.add.reduceat(mixed, starts, dtype=np.uint32)
+    h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+    return h ^ h >> np.uint32(13)
+
+
+def word_cuts(h: np.ndarray, window: int = WORD_WINDOW) -> np.ndarray:
+    """Indices of the last smallest hash of each ``window`` neighbouring ones."""
+    if len(h) < window:
+        return np.array([], np.int64)
+    # the index in the low bits, reversed, makes hashes unique and the last of equal ones the smallest
+    n = len(h)
+    keyed = h.astype(np.uint64) << np.uint64(32) | np.arange(n - 1, -1, -1, dtype=np.uint64)
+    return np.unique(n - 1 - (_lowest(keyed, window) & np.uint64(0xFFFFFFFF)).astype(np.int64))
+
+
+def chunk_edges(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The bytes, the borders of all chunks, and the words (counted at their first byte) of each."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
-    ends = cuts(data)
-    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    digest = xxhash.xxh3_64_intdigest
-    view = memoryview(raw)
-    digests = [digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
     space = _SPACE[data]
     first = ~space
     first[1:] &= space[:-1]
-    words = np.add.reduceat(first, starts, dtype=np.int64) if len(starts) else starts
-    return digests, starts, ends, words
+    at = np.flatnonzero(first)
+    edges = np.unique(np.concatenate(([0], at[word_cuts(word_hashes(data, at))], [len(data)])))
+    long = np.flatnonzero(np.diff(edges) > LONG_CHUNK).tolist()
+    edges = np.unique(np.concatenate([edges, *(edges[i] + cuts(data[edges[i] : edges[i + 1]]) for i in long)]))
+    words = np.add.reduceat(first, edges[:-1], dtype=np.int64) if len(edges) > 1 else edges[:-1]
+    return raw, edges, words
+
+
+def _digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[int]:
+    digest, view = xxhash.xxh3_64_intdigest, memoryview(raw)
+    return [digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def chunk_rows(text: str) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit digests, byte starts, byte ends and words of all chunks."""
+    raw, edges, words = chunk_edges(text)
+    return _digests(raw, edges[:-1], edges[1:]), edges[:-1], edges[1:], words
+
+
+def seed_rows(text: str, min_words: int = MIN_WORDS) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit digests, byte starts and ends, chunks, and words before the start and the end of all seeds.
+
+    The seed of a chunk is the chunk and those after it up to ``min_words`` words;
+    the last chunks of a text have too few left and no seed.
+    """
+    raw, edges, words = chunk_edges(text)
+    before = np.concatenate(([0], np.cumsum(words)))
+    last = np.searchsorted(before, before[:-1] + min_words)
+    at = np.flatnonzero(last < len(before))[: len(words)]
+    last = last[at]
+    return _digests(raw, edges[at], edges[last]), edges[at], edges[last], last - at, before[at], before[last]
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, idx, digest, start, end, words)``, one row per chunk of the whole texts."""
+def seeds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``(id, idx, digest, start, end, chunks, w0, w1)``, one row per seed of the whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "idx", "digest", "start", "end", "words"]
+        names = ["id", "idx", "digest", "start", "end", "chunks", "w0", "w1"]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo in range(0, len(texts), 256):
-                parts = [chunk_rows(t or "") for t in texts[lo : lo + 256]]
+                parts = [seed_rows(t or "", min_words) for t in texts[lo : lo + 256]]
                 n = [len(p[0]) for p in parts]
                 which = pa.array(np.repeat(np.arange(lo, lo + len(parts)), n))
                 digests = np.array([d for p in parts for d in p[0]], np.uint64).view(np.int64)
                 join = lambda i: pa.array(np.concatenate([p[i] for p in parts]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(which), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n])), pa.array(digests), join(1), join(2), join(3)], names
-                )
+                idx = pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), idx, pa.array(digests), *map(join, range(1, 6))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .where(F.col("id").isNotNull())
-        .mapInArrow(run, f"id {kind}, idx int, digest bigint, start int, end int, words int")
+        .mapInArrow(run, f"id {kind}, idx int, digest bigint, start int, end int, chunks int, w0 int, w1 int")
     )
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(<id_col>, start, end, n_chunks, n_words, first_doc_id)``: passages found in two or more documents.
 
-    Longest runs of chunks whose digests other documents have too are repeated if
-    they have ``min_words`` words; a run has one row for each part whose chunks have
-    the same smallest owner, so the parts' ``n_words`` may be fewer.  (A single short
-    chunk of another owner at an end of a run is the border of the passage and has no row:
-    the first occurrence may be cut elsewhere there.)  ``start`` and
-    ``end`` are byte positions in the UTF-8 text; ``first_doc_id`` has all chunks of the
-    part and is the smallest id that has any (its own row is the occurrence to keep).  Null ids are left out, null and
-    empty texts have no chunks, and repeated rows of one id count once.  The
+    One row per longest run of seeds that other documents have too and that have
+    the same smallest owner; rows of different owners may overlap.  (A single seed
+    of another owner at an end of a longer run adds the border of the passage only
+    and has no row.)  ``start`` and ``end`` are byte positions in the UTF-8 text;
+    ``first_doc_id`` has all seeds of the
+    run and is the smallest id that has any (its own row is the occurrence to keep).  Null ids are left out, null and
+    empty texts have no seeds, and repeated rows of one id count once.  The
     digests are aggregated before they are joined back, so a passage that very
     many documents share costs one row per task, not a group.
     """
-    rows = stored(chunks(docs, id_col, text_col), "chunks")
+    rows = stored(seeds(docs, id_col, text_col, min_words), "seeds")
     shared = (
         rows.groupBy("digest")
         .agg(F.min("id").alias("low"), F.max("id").alias("high"))
@@ -139,40 +188,31 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
-            F.count(F.lit(1)).alias("n_chunks"),
-            F.sum("words").alias("n_words"),
+            F.count(F.lit(1)).alias("n"),
+            (F.max(F.col("idx") + F.col("chunks")) - F.min("idx")).cast("bigint").alias("n_chunks"),
+            (F.max("w1") - F.min("w0")).cast("bigint").alias("n_words"),
             F.min("low").alias("first_doc_id"),
         )
     )
     by_run = Window.partitionBy("id", "run")
-    border = (F.col("n_chunks") == 1) & (F.col("n_words") < min_words) & F.col("part").isin(F.col("first"), F.col("last")) & (F.col("longest") > 1)
-    runs = (
-        parts.withColumns(
-            {
-                "run_words": F.sum("n_words").over(by_run),
-                "first": F.min("part").over(by_run),
-                "last": F.max("part").over(by_run),
-                "longest": F.max("n_chunks").over(by_run),
-            }
-        )
-        .where(F.col("run_words") >= min_words)
-        .where(~border)
-    )
+    at_end = F.col("part").isin(F.min("part").over(by_run), F.max("part").over(by_run))
+    border = (F.col("n") == 1) & at_end & (F.max("n").over(by_run) > 1)
+    runs = parts.withColumn("border", border).where(~F.col("border"))
     return runs.select(F.col("id").alias(id_col), "start", "end", "n_chunks", "n_words", "first_doc_id")
 
 
-def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the passages whose first occurrence is in another document.
 
-    Every chunk stays in the document of its smallest id.  Cuts that touch are one,
-    and one of fewer than ``min_words`` words is left out.  Cuts are byte ranges at
-    chunk borders moved inwards to code point borders.
+    A seed stays in the document of its smallest id, unless an even smaller one has
+    that place too, so no text is cut everywhere.  Cuts are byte ranges at chunk
+    borders moved inwards to code point borders.
     """
     cut_id = fresh(docs, "_cut_id")
     ranges = (
         passages.where(F.col(id_col) != F.col("first_doc_id"))
         .groupBy(F.col(id_col).alias(cut_id))
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "n_words"))).alias(fresh(docs, "_cuts")))
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(fresh(docs, "_cuts")))
     )
     names = docs.columns
     at = names.index(text_col)
@@ -183,24 +223,17 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
             for text, gone in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist()):
                 if text and gone:
                     raw, kept, pos = text.encode(), [], 0
-                    joined = []
                     for g in gone:
-                        if joined and joined[-1][1] == g["start"]:
-                            joined[-1][1:] = g["end"], joined[-1][2] + g["n_words"]
-                        else:
-                            joined.append([g["start"], g["end"], g["n_words"]])
-                    for start, end, n in joined:
-                        if n >= min_words:
-                            kept.append(raw[pos:start])
-                            pos = end
+                        kept.append(raw[pos : g["start"]])
+                        pos = max(pos, g["end"])
                     text = b"".join([*kept, raw[pos:]]).decode(errors="ignore")
                 out.append(text)
             cols = [b.column(i) for i in range(len(names))]
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    paired = docs.join(ranges, docs[id_col] == ranges[cut_id], "left").drop(cut_id)
-    return paired.mapInArrow(run, docs.schema)
+    joined = docs.join(ranges, docs[id_col] == ranges[cut_id], "left").drop(cut_id)
+    return joined.mapInArrow(run, docs.schema)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
