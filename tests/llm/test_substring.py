@@ -63,7 +63,8 @@ def test_edge_cases_and_cutting(spark):
     df = spark.createDataFrame(rows + odd, "doc_id long, text string").selectExpr("*", "1 AS digest", "2 AS id").repartition(6)
     got = ss.repeated_passages(df)
     by = {r.doc_id: r for r in got.collect()}
-    assert set(by) == {i for i in range(20) if i % 2}
+    assert set(by) == {i for i in range(20) if i % 2} | {None}
+    assert by.pop(None).start == 0  # the whole text is in document 1
     assert all(r.first_doc_id == 1 for r in by.values())
     out = ss.cut_passages(df, got)
     assert out.columns == df.columns and out.count() == df.count()
@@ -71,6 +72,8 @@ def test_edge_cases_and_cutting(spark):
     before = dict(rows)
     assert texts[1] == before[1] and texts[0] == before[0] and len(texts[3]) < len(before[3]) - 150
     assert texts[3].split()[:60] == before[3].split()[:60]
+    nameless = out.where("doc_id IS NULL").first().text
+    assert len(nameless) < 250 and rows[1][1].endswith(nameless[-20:])
     assert ss.repeated_passages(df.limit(0)).count() == 0
 
 
@@ -121,3 +124,35 @@ def test_word_cuts_follow_their_definition():
         w = ss.WORD_WINDOW
         want = {max(j for j in range(i, i + w) if h[j] == min(h[i : i + w])) for i in range(n - w + 1)}
         assert ss.word_cuts(h).tolist() == sorted(want)
+
+
+def test_null_ids_and_several_texts_of_one_id(spark):
+    rnd = random.Random(7)
+    a, b = (" ".join(words(rnd, 70)) for _ in range(2))
+    own = lambda: " ".join(words(rnd, 60))
+    rows = [(None, f"{own()} {a} {own()}"), (None, f"{own()} {a}"), (3, f"{own()} {b} {own()}"), (3, f"{b} {own()}"), (3, own()), (8, f"{own()} {b}"), (None, own())]
+    df = spark.createDataFrame(rows + [rows[0], rows[2]], "doc_id long, text string").repartition(3)
+    got = ss.repeated_passages(df)
+    assert sorted((str(r.doc_id), str(r.first_doc_id)) for r in got.collect()) == [("3", "3"), ("3", "3"), ("8", "3"), ("None", "None"), ("None", "None")]
+    out = [r.text for r in ss.cut_passages(df, got).collect()]
+    assert len(out) == 9 and sum(a[100:200] in t for t in out) == 3 and sum(b[100:200] in t for t in out) == 3
+    alone = spark.createDataFrame([rows[0]] * 5, "doc_id long, text string")
+    assert ss.repeated_passages(alone).count() == 0
+
+
+def test_no_shared_passage_vanishes(spark):
+    """Every 40-word span that stood in some document stands in one after the cut, wherever passages meet or nest."""
+    rnd = random.Random(11)
+    parts = [" ".join(words(rnd, n)) for n in (60, 60, 60, 90, 120, 75)]
+    a, b, c = parts[:3]
+    texts = [f"{a} {b} {c}", f"{a} {b} {c}", b]
+    for _ in range(40):
+        texts.append(" ".join(x for _ in range(rnd.randint(1, 4)) for x in (rnd.choice(parts), " ".join(words(rnd, rnd.randint(0, 60)))) if x))
+    ids = rnd.sample(range(1000), len(texts))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.text for r in ss.cut_passages(df, ss.repeated_passages(df)).collect()}
+    assert sum(map(len, out.values())) < 0.7 * sum(map(len, texts))
+    for p in parts:  # the middle of each passage, which chunk borders don't touch
+        w = p.split()
+        middle = " ".join(w[12:-12])
+        assert any(middle in t for t in out.values())

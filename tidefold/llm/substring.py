@@ -133,86 +133,102 @@ def seed_rows(text: str, min_words: int = MIN_WORDS) -> tuple[list[int], np.ndar
     return _digests(raw, edges[at], edges[last]), edges[at], edges[last], last - at, before[at], before[last]
 
 
+def text_key(text_col: str = "text"):
+    """31 bits of a hash of the text, which tell texts with one id, or without any, apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF))
+
+
 def seeds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(id, idx, digest, start, end, chunks, w0, w1)``, one row per seed of the whole texts."""
+    """``(id, idx, digest, start, end, chunks, w0, w1)``, one row per seed of the whole texts.
+
+    ``idx`` is the text's key, then the number of the chunk in 32 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "idx", "digest", "start", "end", "chunks", "w0", "w1"]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                parts = [seed_rows(t or "", min_words) for t in texts[lo : lo + 256]]
+            keys = batch.column(2).to_numpy()
+            for lo in range(0, batch.num_rows, 256):
+                parts = [seed_rows(t or "", min_words) for t in batch.column(1).slice(lo, 256).to_pylist()]
                 n = [len(p[0]) for p in parts]
-                which = pa.array(np.repeat(np.arange(lo, lo + len(parts)), n))
+                which = np.repeat(np.arange(lo, lo + len(parts)), n)
                 digests = np.array([d for p in parts for d in p[0]], np.uint64).view(np.int64)
                 join = lambda i: pa.array(np.concatenate([p[i] for p in parts]).astype(np.int32))
-                idx = pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), idx, pa.array(digests), *map(join, range(1, 6))], names)
+                idx = (keys[which] << 32) + np.concatenate([np.arange(k) for k in n])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(idx), pa.array(digests), *map(join, range(1, 6))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .where(F.col("id").isNotNull())
-        .mapInArrow(run, f"id {kind}, idx int, digest bigint, start int, end int, chunks int, w0 int, w1 int")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("tk")).mapInArrow(
+        run, f"id {kind}, idx bigint, digest bigint, start int, end int, chunks int, w0 int, w1 int"
     )
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(<id_col>, start, end, n_chunks, n_words, first_doc_id)``: passages found in two or more documents.
+    """``(<id_col>, text_key, start, end, n_chunks, n_words, first_doc_id)``: passages found in two or more documents.
 
     One row per longest run of seeds that other documents have too and that have
     the same smallest owner; rows of different owners may overlap.  (A single seed
     of another owner at an end of a longer run adds the border of the passage only
     and has no row.)  ``start`` and ``end`` are byte positions in the UTF-8 text;
-    ``first_doc_id`` has all seeds of the
-    run and is the smallest id that has any (its own row is the occurrence to keep).  Null ids are left out, null and
-    empty texts have no seeds, and repeated rows of one id count once.  The
-    digests are aggregated before they are joined back, so a passage that very
-    many documents share costs one row per task, not a group.
+    ``first_doc_id`` has all seeds of the run and is the smallest id that has any
+    (its own row is the occurrence to keep).  Different texts without an id are
+    documents of their own; ``first_doc_id`` is null if only such have the passage.
+    Different texts of one id are one document with more than one text
+    (``text_key`` tells them apart); repeated rows count once; null and empty
+    texts have no seeds; no rows give no rows.
+
+    Seeds are read from the texts twice rather than kept, which halves the disk.
+    Their digests are aggregated before they are joined back, and the
+    aggregate is a table, so that a passage that very many documents share costs one row per task
+    in the aggregation and its rows are split over tasks in the join.
     """
-    rows = stored(seeds(docs, id_col, text_col, min_words), "seeds")
-    shared = (
+    rows = seeds(docs, id_col, text_col, min_words)
+    nameless = F.when(F.col("id").isNull(), F.shiftright("idx", 32))
+    shared = stored(
         rows.groupBy("digest")
-        .agg(F.min("id").alias("low"), F.max("id").alias("high"))
-        .where(F.col("low") < F.col("high"))
-        .select("digest", "low")
+        .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(nameless).alias("n_low"), F.max(nameless).alias("n_high"))
+        .where("low < high OR n_low < n_high OR (low IS NOT NULL AND n_low IS NOT NULL)")
+        .select("digest", "low"),
+        "shared",
     )
-    hits = rows.join(shared, "digest").dropDuplicates(["id", "idx"])
-    by_doc = Window.partitionBy("id").orderBy("idx")
-    apart = F.coalesce(F.col("low") != F.lag("low").over(by_doc), F.lit(True)) | (F.col("idx") != F.lag("idx").over(by_doc) + 1)
+    hits = rows.join(shared, "digest").dropDuplicates(["id", "idx"]).withColumn("tk", F.shiftright("idx", 32))
+    by_doc = Window.partitionBy("id", "tk").orderBy("idx")
+    same = F.col("low").eqNullSafe(F.lag("low").over(by_doc)) & (F.col("idx") == F.lag("idx").over(by_doc) + 1)
     parts = (
         hits.withColumn("run", F.col("idx") - F.row_number().over(by_doc))
-        .withColumn("apart", apart.cast("int"))
+        .withColumn("apart", F.when(same, 0).otherwise(1))
         .withColumn("part", F.sum("apart").over(by_doc))
-        .groupBy("id", "run", "part")
+        .groupBy("id", "tk", "run", "part")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
             F.count(F.lit(1)).alias("n"),
-            (F.max(F.col("idx") + F.col("chunks")) - F.min("idx")).cast("bigint").alias("n_chunks"),
+            (F.max(F.col("idx") + F.col("chunks")) - F.min("idx")).alias("n_chunks"),
             (F.max("w1") - F.min("w0")).cast("bigint").alias("n_words"),
             F.min("low").alias("first_doc_id"),
         )
     )
-    by_run = Window.partitionBy("id", "run")
+    by_run = Window.partitionBy("id", "tk", "run")
     at_end = F.col("part").isin(F.min("part").over(by_run), F.max("part").over(by_run))
     border = (F.col("n") == 1) & at_end & (F.max("n").over(by_run) > 1)
     runs = parts.withColumn("border", border).where(~F.col("border"))
-    return runs.select(F.col("id").alias(id_col), "start", "end", "n_chunks", "n_words", "first_doc_id")
+    return runs.select(F.col("id").alias(id_col), F.col("tk").alias("text_key"), "start", "end", "n_chunks", "n_words", "first_doc_id")
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the passages whose first occurrence is in another document.
 
     A seed stays in the document of its smallest id, unless an even smaller one has
-    that place too, so no text is cut everywhere.  Cuts are byte ranges at chunk
-    borders moved inwards to code point borders.
+    that place too, so no text is cut everywhere; what only texts without an id
+    share stays in all of them.  Cuts are byte ranges at chunk borders moved
+    inwards to code point borders.  All rows, their order of columns and other
+    columns stay; null and empty texts are unchanged; repeated rows are cut alike.
     """
-    cut_id = fresh(docs, "_cut_id")
+    cut_id, cut_key, cuts_of = fresh(docs, "_cut_id"), fresh(docs, "_cut_key"), fresh(docs, "_cuts")
     ranges = (
-        passages.where(F.col(id_col) != F.col("first_doc_id"))
-        .groupBy(F.col(id_col).alias(cut_id))
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(fresh(docs, "_cuts")))
+        passages.where(F.col("first_doc_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("first_doc_id")))
+        .groupBy(F.col(id_col).alias(cut_id), F.col("text_key").alias(cut_key))
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts_of))
     )
     names = docs.columns
     at = names.index(text_col)
@@ -232,8 +248,8 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    joined = docs.join(ranges, docs[id_col] == ranges[cut_id], "left").drop(cut_id)
-    return joined.mapInArrow(run, docs.schema)
+    same = docs[id_col].eqNullSafe(ranges[cut_id]) & (text_key(text_col) == ranges[cut_key])
+    return docs.join(ranges, same, "left").drop(cut_id, cut_key).mapInArrow(run, docs.schema)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
