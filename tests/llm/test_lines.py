@@ -43,6 +43,28 @@ def test_templates_and_edge_cases(spark):
     assert [r.text for r in lines.drop_recurring_lines(odd, min_docs=2).orderBy("doc_id").collect()] == ["a b", "a b", "c d"]
 
 
+def test_templates_that_share_a_leaf(spark):
+    """A template is found by its own lines, whatever else begins alike, and two templates of a leaf stay apart."""
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 7)))
+    rows = []
+    for d in range(200):
+        if d < 40:
+            line = f"This page was updated by {word()} for all of the {word()} readers"
+        elif d < 70:
+            line = f"This page was printed in {word()} with some ink from {word()} ltd"
+        elif d < 160:
+            line = "This page was " + " ".join(word() for _ in range(9))
+        else:
+            line = f"Written down by {word()}"
+        rows.append((d, f"{word()} {word()}\n{line}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.text, r._n_lines, r._n_dropped) for r in lines.drop_recurring_lines(df).collect())
+    assert got == oracle(rows)
+    kept = lambda a, b: sum(r[1].count("\n") for r in got[a:b])
+    assert (kept(0, 40), kept(40, 70), kept(70, 160), kept(160, 200)) == (1, 1, 90, 1)
+
+
 def test_query_matches_the_oracle(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]

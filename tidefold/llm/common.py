@@ -57,3 +57,13 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def wide_hash(*cols: str) -> Column:
+    """A 128-bit hash of the columns, as a struct of two longs."""
+    return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *cols).alias("b"))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 128-bit key of a row's id and text; equal rows have the same."""
+    return wide_hash(id_col, text_col)

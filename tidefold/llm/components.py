@@ -17,8 +17,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the "large star" and "small star" steps until the edges no longer
     change: a logarithmic number of rounds, each a few joins and aggregations on
-    the node, every round written to the shared folder.  Nothing is collected
-    but a count and a checksum.  Loops (``a = b``) and repeated edges are
+    the node, every round written to the shared folder.  The smallest neighbours
+    are a table of their own, so that the rows of a node with very many can be
+    split in the join.  Nothing is collected but a count and a checksum.  Loops (``a = b``) and repeated edges are
     allowed; rows with a null end are ignored; no edges give no rows.  Only
     nodes that have an edge to another node are returned.  Raises if
     ``max_rounds`` is reached, rather than returning unfinished groups.
@@ -34,7 +35,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if before[0] == 0:
             break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = (
             both.where(F.col("v") > F.col("u"))
             .join(low, "u")
@@ -43,7 +44,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         large = stored(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = (
             large.join(least, "u")
             .where(F.col("v") != F.col("m"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import fresh, stored, table
+from tidefold.llm.common import fresh, row_key, stored, table
 from tidefold.llm.components import connected_components
 
 SEED = 42
@@ -62,7 +62,7 @@ def _masks() -> list[int]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(id, rk, fp long)``, one row per input row; ``rk`` is a hash of id and text, the text itself goes no further."""
+    """``(id, rk, fp long)``, one row per input row; ``rk`` is a 128-bit key of id and text, the text itself goes no further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,8 +70,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["id", "rk", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, rk bigint, fp bigint")
+    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, rk struct<a:bigint,b:bigint>, fp bigint")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rk")).alias("first")
     by_print = prints.groupBy("fp").agg(first)  # copies are reduced before they meet
     kept = roots.join(by_print, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rk").alias(rk))
-    out = docs.withColumn(rk, F.xxhash64(id_col, text_col)).join(kept, rk, "left_semi")
+    out = docs.withColumn(rk, row_key(id_col, text_col)).join(kept, rk, "left_semi")
     return out.dropDuplicates([rk]).select(docs.columns)
 
 
