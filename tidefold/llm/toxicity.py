@@ -32,6 +32,9 @@ GAIN = 2
 MAX_GAIN = 22
 THRESHOLD = 0.7
 _GRAM = 5
+#: Bytes of a segment of the trained dictionaries, about a word with its blanks; bytes the trainer has to see.
+_SEGMENT = 16
+MIN_TRAIN_BYTES = 16_384
 
 
 @dataclass(frozen=True)
@@ -120,19 +123,23 @@ def telling_grams(toxic: list[str], ordinary: list[str], z_min: float = 6.0, rat
 
 
 def _train(size: int, samples: list[bytes]) -> bytes:
-    """A zstandard dictionary of ``size`` bytes; from samples too few for training, the distinct
-    ones themselves, the most frequent last, where matches are cheapest."""
-    if sum(map(len, samples)) > 8 * size and len(samples) > 64:
-        try:
-            return zstd.train_dictionary(size, samples).as_bytes()
-        except zstd.ZstdError:
-            pass
-    counts = Counter(samples)
-    return b"".join(sorted(counts, key=lambda w: (counts[w], w)))[-size:]
+    """A zstandard dictionary trained on ``samples``: an eighth of their bytes, ``size`` at most.
+
+    Samples that are too few for the trainer are repeated until it takes them.
+    """
+    total = sum(map(len, samples))
+    if not total:
+        return b""
+    times = -(-MIN_TRAIN_BYTES // total)
+    return zstd.train_dictionary(max(256, min(size, total * times // 8)), samples * times, k=_SEGMENT, d=_GRAM + 1).as_bytes()
 
 
 def dictionaries(rows: list[tuple[str, int]]) -> Model:
-    """The toxic dictionary from the telling words of toxic documents, the other from ordinary windows."""
+    """The toxic dictionary from the telling words of toxic documents, the other from ordinary windows.
+
+    Trained on all windows of toxic documents it would mostly hold what ordinary
+    ones hold too: toxic words are few there, and chance matches outweigh them.
+    """
     toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
     grams = telling_grams(toxic, ordinary)
     words: list[bytes] = []
@@ -203,21 +210,23 @@ def score_one(model: Model, gains: _Gains | None, text: str | None) -> float:
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on a bounded sample of the labelled rows outside the held-out fold.
 
-    The ids come first (at most ``MAX_TOXIC_DOCS`` and ``MAX_ORDINARY_DOCS``, in a
-    hash order), then their texts.  Rows whose crc32 of the id modulo 3 is 1 are
-    never read.
+    The ids come first (at most ``MAX_TOXIC_DOCS`` and ``MAX_ORDINARY_DOCS`` of the
+    rows that have a text of ``MAX_TRAIN_CHARS`` or less, in a hash order), then their
+    texts.  Rows whose crc32 of the id modulo 3 is 1 are never read.  Null ids and
+    labels are left out; an id with several labels is toxic if one says so; of
+    several texts of one id the last in order is taken.
     """
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.length("text") <= MAX_TRAIN_CHARS)
     known = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold_of(F.col(id_col)) != 1))
         .groupBy(F.col(id_col).alias("_id"))
         .agg((F.max(label_col) > 0).cast("int").alias("y"))
+        .join(texts.select("_id"), "_id", "left_semi")
     )
     pick = lambda y, n: known.where(F.col("y") == y).orderBy(hash_unit(F.col("_id"), "toxic"), "_id").limit(n)
     chosen = pick(1, MAX_TOXIC_DOCS).unionByName(pick(0, MAX_ORDINARY_DOCS))
     rows = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-        .where(F.length("text") <= MAX_TRAIN_CHARS)
-        .join(F.broadcast(chosen), "_id")  # at most 4,000 ids
+        texts.join(F.broadcast(chosen), "_id")  # at most 4,000 ids
         .withColumn("c", F.pmod(hash_unit(F.col("_id"), "part"), F.lit(PARTS)).cast("int"))
         .select("_id", "text", "y", "c")
         .collect()
