@@ -32,8 +32,8 @@ GAIN = 2
 MAX_GAIN = 22
 THRESHOLD = 0.7
 _GRAM = 5
-#: Bytes of a segment of the trained dictionaries, about a word with its blanks; bytes the trainer has to see.
-_SEGMENT = 16
+#: Bytes of a segment of the trained dictionaries, about two words; bytes the trainer has to see.
+_SEGMENT = 24
 MIN_TRAIN_BYTES = 16_384
 
 
