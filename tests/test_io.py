@@ -50,6 +50,52 @@ def test_search_command(spark, tmp_path, capsys):
     assert len(capsys.readouterr().out.strip().splitlines()) >= 1
 
 
+def test_files_of_different_length_and_options(spark, tmp_path, capsys):
+    """Each file gets its own candidates, whatever its length and however alike the names are."""
+    (tmp_path / "in").mkdir()
+    short = write_observation(tmp_path / "in", "a_DM1.0", n=1 << 14)
+    long_, same = write_observation(tmp_path / "in", "ba_DM1.0", 230), write_observation(tmp_path / "in", "a_DM1.00", 250)
+    args = ["--nharms", "8", "--maxdecim", "2", "--lofreq", "30", "--hifreq", "120", "--outdir", str(tmp_path / "out")]
+    assert cli.main(["search", short, long_, same, *args, "--metricstats", "--noharmremove", "--lobin", "1"]) == 0
+    tops = {}
+    for name, t in (("a_DM1.0", (1 << 14) * 1e-4), ("ba_DM1.0", (1 << 15) * 1e-4), ("a_DM1.00", (1 << 15) * 1e-4)):
+        lines = (tmp_path / "out" / f"{name}.cohout").read_text().splitlines()
+        tops[name] = {round(float(x.split()[2]) * t) for x in lines[1:]}
+        table = (tmp_path / "out" / f"{name}_metricstats.txt").read_text().splitlines()
+        assert table[0] == writers.BLOCK_HEADER and len(table) > 2 and {x.split()[0] for x in table[1:]} == {"1", "2"}
+    assert 210 in tops["a_DM1.0"] and 230 in tops["ba_DM1.0"] and 250 in tops["a_DM1.00"]
+    assert cli.main(["search", long_, *args, "--normalize", "--threshold", "20", "--noremove", "--ncands", "7"]) == 0
+    report = tmp_path / "report.txt"
+    assert cli.main(["sift", str(tmp_path / "out"), "--regex", r"^(?P<obs>\w+)_DM(?P<dm>[0-9.]+)[.]cohout", "-o", str(report), "--within-tol", "0.03", "--min-score=-1e9"]) == 0
+    assert report.read_text().strip() and capsys.readouterr().out == ""
+
+
+def test_path_expansion_and_patterns(spark, tmp_path):
+    for name in ("b.txt", "a.txt", "c.cohout", "d.log"):
+        (tmp_path / name).write_text("")
+    d = str(tmp_path)
+    assert text.candidate_paths([f"{d}/a.txt", d, f"{d}/*.txt", "none*"]) == [f"{d}/a.txt", f"{d}/c.cohout", f"{d}/b.txt", "none*"]
+    df = spark.createDataFrame([("DM3_of_x",), ("y",)], "name string")
+    ok, obs, dm = text.name_keys(F.col("name"), r"DM(?P<dm>[0-9]+)_of_(?P<obs>\w+)")
+    assert [tuple(r) for r in df.select(ok, obs, dm).collect()] == [(True, "x", "3"), (False, "", "")]
+    with pytest.raises(ValueError):
+        text.name_keys(F.col("name"), r"(?P<obs>.)(?P<other>.)")
+
+
+def test_period_tables_and_serial_fraction(spark):
+    from tidefold.operators import stats
+
+    lines = ["period freq width ducy dm snr", "0.5 2.0 3 12.50% 0.0 9.5", "0.5 2.0 x 12.50% 0.0 9.5", "1 2 3", ""]
+    got = text.parse_periods(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [tuple(r) for r in got] == [(2.0, 3, 0.125, 9.5)]
+    runs = spark.createDataFrame([(n, 1 / (0.06 + 0.94 / n)) for n in (1, 2, 4, 8, 20)], "n int, speedup double")
+    fit = stats.serial_fraction(runs).first()
+    assert fit.serial == pytest.approx(0.06) and fit.ceiling == pytest.approx(1 / 0.06)
+    assert stats.serial_fraction(runs.where("n = 1")).first().serial is None
+    metrics = spark.createDataFrame([("o", 0, 1, 10.0), ("o", 0, 1, 30.0), ("o", 0, 2, 60.0), ("o", 1, 1, 500.0)], "obs string, block long, k int, r double")
+    assert {(r.block, r.ngoodbins) for r in stats.good_harmonics(metrics, 60, 2000).collect()} == {(0, 60.0), (1, 4.0)}
+
+
 def test_output_paths():
     assert writers.output_path(["a/b.fft"], 0, None, None) is None
     assert writers.output_path(["a/b.fft"], 0, "c", None) == "c"

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -57,7 +58,7 @@ def _map_profiles(df: DataFrame, column: str, kind: str, fn: Callable[[np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(at)
-            sizes = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()], np.int64)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             made: list[list] = [[None] * b.num_rows for _ in outs]
             for size in set(sizes.tolist()) - {0}:
                 rows = np.flatnonzero(sizes == size)

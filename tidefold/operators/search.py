@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,9 +90,13 @@ def trial_metrics(spec: DataFrame, params: SearchParams, r_lo: float, r_hi: floa
     def run(group: pa.Table) -> pa.Table:
         obs, block = group.column("obs")[0].as_py(), group.column("block")[0].as_py()
         held = {}
-        for page, bins, re, im in zip(*(group.column(c).to_pylist() for c in ("page", "bins", "re", "im"))):
+        lists = {c: group.column(c).combine_chunks() for c in ("bins", "re", "im")}
+        ends = np.cumsum(np.asarray(pc.list_value_length(lists["bins"])))
+        bins, re, im = (np.asarray(lists[c].flatten()) for c in lists)
+        values = re + 1j * im
+        for page, lo, hi in zip(group.column("page").to_numpy().tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
             x = np.zeros(page_bins, np.complex128)
-            x[np.array(bins, np.int64) - page * page_bins] = np.array(re) + 1j * np.array(im)
+            x[bins[lo:hi] - page * page_bins] = values[lo:hi]
             held[page] = x
         blank = np.zeros(page_bins, np.complex128)
 

@@ -106,7 +106,7 @@ def _share(c: Column) -> Column:
     return F.avg(c.cast("double"))
 
 
-def signals(dets: DataFrame, cross_tol: float, step: DataFrame, long_period_ms: float = 10_000.0) -> DataFrame:
+def signals(dets: DataFrame, cross_tol: float, step: DataFrame, long_period_ms: float = 100.0) -> DataFrame:
     """Detections linked across observations; of one observation the strongest (then lowest frequency) counts."""
     near = cluster_freq(dets.drop("hits"), [], cross_tol, ["obs", "best_dm"])
     rank = F.row_number().over(Window.partitionBy("cluster", "obs").orderBy(F.desc("best_snr"), "freq"))

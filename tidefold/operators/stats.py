@@ -95,3 +95,25 @@ def normalized_metrics(metrics: DataFrame, norm: DataFrame) -> DataFrame:
     """Adds ``z``; a trial without a model keeps its raw metric."""
     z = F.coalesce((F.col("metric") - F.col("loc")) / F.col("scale"), F.col("metric"))
     return metrics.join(norm, ["k", "win"], "left").withColumn("z", z).drop("loc", "scale")
+
+
+def good_harmonics(metrics: DataFrame, nharms: int, n_half: int) -> DataFrame:
+    """``(obs, block, ngoodbins)``: harmonics of a block's mean frequency that lie within the spectrum, ``nharms`` at most.
+
+    Trials of the first decimation are taken: the others fold multiples of the same frequencies.
+    """
+    mean = metrics.where("k = 1").groupBy("obs", "block").agg(F.avg("r").alias("r"))
+    return mean.select("obs", "block", F.least(F.lit(float(n_half)) / F.col("r"), F.lit(float(nharms))).alias("ngoodbins"))
+
+
+def serial_fraction(runs: DataFrame, workers: str = "n", speedup: str = "speedup") -> DataFrame:
+    """One row ``(serial, ceiling)``: the least-squares s of ``1 / speedup = s + (1 - s) / n``, and ``1 / s``.
+
+    With u = 1 / n it is the slope through the origin of ``1 / speedup - u`` over ``1 - u``;
+    null without a run on two workers or more.
+    """
+    u = 1.0 / F.col(workers)
+    x, y = 1.0 - u, 1.0 / F.col(speedup) - u
+    both = runs.agg(F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"))
+    s = F.when(F.col("xx") > 0, F.greatest(F.lit(1e-9), F.least(F.lit(1.0), F.col("xy") / F.col("xx"))))
+    return both.select(s.alias("serial"), (1.0 / s).alias("ceiling"))

@@ -106,7 +106,7 @@ xb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY isl, k, obs ORDE
 xg AS (SELECT isl, k, count(*) AS n_obs, sum(best_snr) AS sum_snr, max(best_snr) AS max_snr, arg_max(freq, best_snr) AS freq, arg_max(period_ms, best_snr) AS period_ms,
   (max(freq) - min(freq)) / avg(freq) AS freq_frac_spread, list_sort(list(best_dm))[count(*) // 2 + 1] AS dm_med, median(ndms) AS median_ndms, median(numharm) AS numharm_med,
   median(ducy) AS ducy_med, avg(peak_at_edge::INTEGER) AS frac_edge, avg((NOT has_neighbour)::INTEGER) AS frac_single,
-  avg((full_span AND peak_at_edge AND period_ms < 10000)::INTEGER) AS frac_broadband, bool_and(full_span) AS all_full_span FROM xb GROUP BY isl, k),
+  avg((full_span AND peak_at_edge AND period_ms < 100)::INTEGER) AS frac_broadband, bool_and(full_span) AS all_full_span FROM xb GROUP BY isl, k),
 xm AS (SELECT b.isl, b.k, median(abs(best_dm - dm_med)) AS mad FROM xb b JOIN xg g ON g.isl = b.isl AND g.k = b.k GROUP BY b.isl, b.k),
 sig AS (SELECT g.*, CASE WHEN step <> 0 THEN mad / step ELSE 0 END AS dm_mad_steps FROM xg g JOIN xm m ON m.isl = g.isl AND m.k = g.k, step)"""
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Observation and dispersion measure in the name of a candidate file.
-NAME_PATTERN = r"(.+?)_DM([0-9]+(?:\.[0-9]+)?)"
+NAME_PATTERN = r"(?P<obs>.+?)_DM(?P<dm>[0-9]+(?:\.[0-9]+)?)"
+#: Files that a folder is searched for.
+CANDIDATE_FILES = ("*.cohout", "*.txt")
 
 #: Prefixes of the header lines that are read, by column; fixed by the file format.
 INF_LINES = {
@@ -28,8 +34,23 @@ def read_inf(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def name_keys(name: Column, pattern: str = NAME_PATTERN) -> tuple[Column, Column, Column]:
-    """Whether ``pattern`` occurs in a name, and its two groups."""
-    return name.rlike(pattern), F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)
+    """Whether ``pattern`` occurs in a name, and its groups ``obs`` and ``dm`` (the first two, if it names none)."""
+    at = re.compile(pattern).groupindex
+    if at and not {"obs", "dm"} <= at.keys():
+        raise ValueError("the pattern has to name the groups obs and dm")
+    plain = re.sub(r"\(\?P<\w+>", "(", pattern)
+    return name.rlike(plain), F.regexp_extract(name, plain, at.get("obs", 1)), F.regexp_extract(name, plain, at.get("dm", 2))
+
+
+def candidate_paths(paths: list[str]) -> list[str]:
+    """Folders as their candidate files, globs as what they match, each path once, in the given order; nothing is read."""
+    found: list[str] = []
+    for p in paths:
+        if os.path.isdir(p):
+            found += [f for kind in CANDIDATE_FILES for f in sorted(glob.glob(os.path.join(p, kind)))]
+        else:
+            found += sorted(glob.glob(p)) or [p]
+    return list(dict.fromkeys(found))
 
 
 def parse_candidates(lines: DataFrame, line: str = "value", min_snr: float = float("-inf")) -> DataFrame:
@@ -66,7 +87,8 @@ def candidate_line(ranked: DataFrame) -> Column:
     return F.format_string("%-4d  %8.2f  %18.12f  %18.12f   %3d   %6s", "rank", "metric", "freq", 1000.0 / F.col("freq"), "nharm", ducy)
 
 
-HEADER = "# rank      S/N            freq(Hz)          period(ms)  #harm   ducy%"
+#: The fixed first line of the table.
+HEADER = "#       'S/N'      Frequency (Hz)        Period (ms)    #Harm  Ducy(%)"
 
 
 def write_candidates(ranked: DataFrame, path: str) -> None:
@@ -77,6 +99,14 @@ def write_candidates(ranked: DataFrame, path: str) -> None:
     both.select("obs", "value").write.partitionBy("obs").text(path)
 
 
+def parse_periods(lines: DataFrame, line: str = "value") -> DataFrame:
+    """``(freq, width, ducy, snr)`` of lines ``period freq width ducy% dm snr`` of another program; the title and malformed lines are dropped."""
+    num = lambda i, kind: F.get("_p", F.lit(i)).try_cast(kind)
+    rows = lines.select(F.split(F.trim(F.col(line)), r"\s+").alias("_p")).where((F.size("_p") == 6) & ~F.get("_p", F.lit(0)).startswith("period"))
+    out = rows.select(num(1, "double").alias("freq"), num(2, "int").alias("width"), (F.rtrim(F.get("_p", F.lit(3)), F.lit("%")).try_cast("double") / 100.0).alias("ducy"), num(5, "double").alias("snr"))
+    return out.dropna()
+
+
 def stage_times(lines: DataFrame, line: str = "value") -> DataFrame:
     """``(stage, ms)`` of every ``'name' runtime: x ms`` in log lines."""
     pattern = r"'(\w+)' runtime: ([\d.]+) ms"

@@ -22,6 +22,9 @@ def output_path(inputs: list[str], index: int, out: str | None, outdir: str | No
     return os.path.join(outdir if outdir else os.path.dirname(inputs[index]), stem + ".cohout")
 
 
+BLOCK_HEADER = "#  k  block      n            flo            fhi      vmin   vmedian     vmean      vstd      vmax"
+
+
 def block_table(stats: DataFrame) -> DataFrame:
     """``(obs, k, block, line)`` of the block statistics."""
     line = F.format_string("%4d %6d %6d %14.6f %14.6f %9.4f %9.4f %9.4f %9.4f %9.4f", "k", "block", "n", "flo", "fhi", "vmin", "vmedian", "vmean", "vstd", "vmax")
