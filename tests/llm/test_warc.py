@@ -53,7 +53,7 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (0, "v", "x"), (None, "u", "x")], "page_id long, url string, html string")
     assert warc.archive_pages(df.limit(0)).count() == 0
     got = sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.archive_pages(df).collect())
-    assert got == [("0", "revisit", 1), ("1", "response", None), ("1", "response", None), ("None", "response", None)]
+    assert got == [("0", "revisit", 1), ("1", "response", None), ("1", "response", None), ("None", "revisit", 1)]
 
 
 def test_broken_archives():
@@ -72,3 +72,25 @@ def test_query(spark):
     rows = [(r.page_id, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     got = warc.op8_warc(spark, sf)
     assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got.collect()) == brute(rows)
+
+
+def test_foreign_archives_and_rows_without_ids(spark, tmp_path):
+    """Records without an id of ours are keyed by file and place, and equal payloads are found among them."""
+    block = lambda body: f"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n{body}"
+    version = "1 0 Test\nURL IP-address Archive-date Content-type Archive-length\n"
+    arc = f"filedesc://x.arc 0.0.0.0 20000101000000 text/plain {len(version)}\n{version}\n"
+    for i, body in enumerate(("same", "other", "same", "same")):
+        arc += f"http://h/{i} 1.2.3.4 20010203040506 text/html {len(block(body))}\n{block(body)}\n"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "part-0.arc").write_text(arc, newline="")
+    warc.convert_arc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    got = warc.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert sorted((r.record_type, r.payload or "") for r in got) == [("response", "other"), ("response", "same"), ("revisit", ""), ("revisit", "")]
+    ids = {r.record_id for r in got}
+    assert len(ids) == 4 and {r.refers_to_id for r in got if r.record_type == "revisit"} <= ids
+    rows = [(None, "u", "x"), (None, "u", "x"), (5, "u", "x"), (None, "u", "y"), (None, "u", "y")]
+    out = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.payload_digest, r.record_type, str(r.page_id), str(r.refers_to)) for r in out if r.payload_digest == warc.digest_of(b"x")) == sorted(
+        (warc.digest_of(b"x"), *t) for t in (("response", "5", "None"), ("revisit", "None", "5"), ("revisit", "None", "5"))
+    )
+    assert sorted(r.record_type for r in out if r.payload_digest == warc.digest_of(b"y")) == ["response", "revisit"]

@@ -258,6 +258,7 @@ def read_back(windows: DataFrame) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls, repeated rows and empty tables: as ``format_conversations``; an empty table leaves the added conversation."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], given.schema)

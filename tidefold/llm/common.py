@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``).
 
-    Only where that setting is absent (tests, a laptop) is a folder below the
-    warehouse used instead.
+    Only where that setting is absent and all runs on one machine (tests, a
+    laptop) is a folder below the warehouse used instead.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)

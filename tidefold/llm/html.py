@@ -20,6 +20,8 @@ from tidefold.llm.common import fresh, hash_unit, table
 #: Bounds of the training sample, and of one training sequence.
 TRAIN_PAGES = 300
 TRAIN_CHARS = 20_000
+#: Pages to train on where all are longer than that.
+LONG_PAGES = 20
 TRAIN_BLOCKS = 80
 VARIANTS = 4
 EPOCHS = 6
@@ -455,15 +457,17 @@ def examples_of(pages: list[str], seed: int = 3) -> list[tuple[np.ndarray, np.nd
 
 
 def train_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Network:
-    """Fit on at most ``TRAIN_PAGES`` pages, the first in a hash order of their ids; without any the network is untrained."""
-    ids = (
-        pages.where(F.col(id_col).isNotNull() & F.length(html_col).between(1, TRAIN_CHARS))
-        .select(F.col(id_col).alias("_id"))
-        .distinct()
-        .orderBy(hash_unit(F.col("_id"), "html"), "_id")
-        .limit(TRAIN_PAGES)
-    )
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("h")).where(F.length("h").between(1, TRAIN_CHARS)).join(F.broadcast(ids), "_id").collect()
+    """Fit on at most ``TRAIN_PAGES`` pages of up to ``TRAIN_CHARS`` characters, the first in a hash order of their ids.
+
+    Without such pages the ``LONG_PAGES`` shortest are taken.  Null ids and empty
+    pages are left out; a table without others gives an untrained network, which has nothing to label.
+    """
+    given = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("h")).where(F.col("_id").isNotNull() & (F.length("h") > 0))
+    usable = given.where(F.length("h") <= TRAIN_CHARS)
+    ids = usable.select("_id").distinct().orderBy(hash_unit(F.col("_id"), "html"), "_id").limit(TRAIN_PAGES)
+    rows = usable.join(F.broadcast(ids), "_id").collect()
+    if not rows:
+        rows = given.orderBy(F.length("h"), "_id", "h").limit(LONG_PAGES).collect()
     once = {r["_id"]: r["h"] for r in sorted(rows, key=lambda r: (r["_id"], r["h"]))}
     return fit_network(examples_of(list(once.values())))
 
@@ -499,5 +503,6 @@ def main_text(pages: DataFrame, network: Network, html_col: str = "html", out_co
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages; nulls, repeated rows and empty tables: as ``main_text``."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return main_text(pages, train_labeller(pages))

@@ -183,6 +183,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without recurring lines; nulls, repeated rows and empty tables: as ``drop_recurring_lines``."""
     out = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
 

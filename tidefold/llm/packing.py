@@ -272,4 +272,5 @@ def op3_of(docs: DataFrame) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed; nulls, repeated rows and empty tables: as ``pack_documents``."""
     return op3_of(table(spark, sf_dir, "documents"))

@@ -214,7 +214,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         .join(F.broadcast(chosen), "_id")  # at most max_rows short rows
         .select("_id", "y", "text")
         .mapInArrow(run, f"id {kind}, y int, f array<double>")
-        .dropDuplicates(["id"])
+        .groupBy("id", "y")
+        .agg(F.min("f").alias("f"))  # of several texts of one id
         .toPandas()
         .sort_values("id")
     )
@@ -271,5 +272,6 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored; nulls, repeated rows and empty tables: as ``score_quality``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))

@@ -153,4 +153,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their groups; nulls, repeated rows and empty tables: as ``simhash_components``."""
     return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -253,4 +253,5 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated passages of all documents; nulls, repeated rows and empty tables: as ``repeated_passages``."""
     return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -264,5 +264,6 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored; nulls, repeated rows and empty tables: as ``score_toxicity``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))

@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,24 +144,29 @@ def digest_of(payload: bytes) -> str:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
 _ARC_SCHEMA = "url string, ip string, date string, mime string, head string, payload string, row_id bigint, payload_bytes bigint, payload_digest string"
 
 
 def read_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of a folder of ARC files; ``payload=False`` leaves texts and heads null."""
+    """Records of a folder of ARC files; ``payload=False`` leaves texts and heads null.
+
+    ``row_id`` is the id that our own files carry; any other record gets a negative
+    one from its file and place, so that each has a key.  A record that is not as
+    long as declared raises; empty folders give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
-                for h, block in arc_records(inflate(content.as_buffer().to_pybytes())):
+                for i, (h, block) in enumerate(arc_records(inflate(content.as_buffer().to_pybytes()))):
                     head, body = split_http(block)
-                    rid = http_field(head, b"x-row-id")
+                    rid = http_field(head, b"x-row-id") or -1 - (xxhash.xxh3_64_intdigest(f"{name}#{i}") >> 1)
                     text, top = (body.decode("utf-8", "replace"), head.decode("utf-8", "replace")) if payload else (None, None)
-                    rows.append((h["URL"], h["IP-address"], h["Archive-date"], h["Content-type"], top, text, int(rid) if rid else None, len(body), digest_of(body)))
+                    rows.append((h["URL"], h["IP-address"], h["Archive-date"], h["Content-type"], top, text, int(rid), len(body), digest_of(body)))
                 kinds = [pa.string()] * 6 + [pa.int64(), pa.int64(), pa.string()]
                 cols = [pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * 9, kinds)]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _ARC_SCHEMA.split(", ")])
@@ -261,7 +267,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for content in batch.column(1):
                 rows = []
                 for h, block in warc_records(inflate(content.as_buffer().to_pybytes())):
                     if h["warc-type"] == "warcinfo":
@@ -282,8 +288,10 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 
 def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """ARC files to WARC files: one pass for digests, one for the records.
+    """ARC files, ours or foreign, to WARC files: one pass for digests, one for the records.
 
+    Of equal payloads the record with the largest id is the response; records
+    without an id of their own come before all others.
     Decisions are joined on the row id, so neither copies nor long texts meet in one task.
     """
     again = stored(revisit_decisions(stored(read_arc(spark, arc_path, payload=False).select("row_id", "payload_digest", "payload_bytes"), "digests"), min_bytes), "revisits")
@@ -303,8 +311,9 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """Write ``pages`` as ARC, convert to WARC, and read the WARC files back: one row per input row.
 
     Null texts are empty payloads, null and blank URLs ``urn:none``.  The id is
-    the key: repeated rows of the response's id are responses themselves.  An
-    empty table gives an empty result.
+    the key: repeated rows of the response's id are responses themselves.  Rows
+    without an id revisit like others (among themselves ``refers_to`` is null, as
+    the response has no id).  An empty table gives an empty result.
     """
     spark = pages.sparkSession
     arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
@@ -314,6 +323,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through both archives; nulls, repeated rows and empty tables: as ``archive_pages``."""
     return archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
