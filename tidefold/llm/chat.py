@@ -174,8 +174,7 @@ def format_conversations(
     everything = own.unionByName(history).unionByName(system)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
-        count = lambda s: len(encode(s)) // 4
+        count = encoder(vocabulary).count
 
         id_type = None
 

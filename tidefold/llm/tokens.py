@@ -62,6 +62,10 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self._bpe.encode(text, allowed_special="all", disallowed_special=()), self.dtype)
 
+    def count(self, text: str | None) -> int:
+        """The number of ids of one text."""
+        return len(self._bpe.encode(text, allowed_special="all", disallowed_special=())) if text else 0
+
     def _pieces(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that begin with a blank, one after the other, and the number of each piece's ids."""
         data = np.frombuffer(raw, np.uint8)
