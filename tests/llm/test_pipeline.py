@@ -2,7 +2,7 @@ import duckdb
 
 import corpus_pipeline
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import brute
+from tests.llm.test_simhash import groups
 from tidefold.llm import decontaminate, lines, quality
 
 
@@ -29,7 +29,7 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert after == {r[0]: r[1] for r in con.sql(lines.OP9_SQL).fetchall()}
             assert all(r.n_chars == len(r.text) for r in out.collect())
         elif name == "near_dedup":
-            assert after == {d: before[d] for d, _, c in brute(list(before.items())) if d == c}
+            assert after == {d: before[d] for d, c in groups(before).items() if d == c}
         else:
             items = {r.item_id: decontaminate.words_of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
             joined = {d: b" ".join(decontaminate.words_of(t)) for d, t in before.items()}

@@ -33,6 +33,76 @@ def brute(rows):
     return sorted(((d, f"{f:016x}", low.get(find(i))) for i, ((d, _), f) in enumerate(zip(rows, fps))), key=str)
 
 
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(1, len(w))))}
+
+
+def groups(texts):
+    """Smallest id of each document's group: all pairs at two bits, or at the wide radius."""
+    prints = {d: simhash.wide_print(t)[:2] for d, t in texts.items()}
+    low = {d: d for d in prints}
+
+    def find(d):
+        while low[d] != d:
+            d = low[d]
+        return d
+
+    for a in sorted(prints):
+        for b in sorted(prints):
+            (fa, wa), (fb, wb) = prints[a], prints[b]
+            wide = sum((x ^ y).bit_count() for x, y in zip(wa, wb)) <= simhash.SIMILAR_BITS and texts[a] and texts[b]
+            if a < b and ((fa ^ fb).bit_count() <= 2 or wide):
+                x, y = sorted((find(a), find(b)))
+                low[y] = x
+    return {d: find(d) for d in prints}
+
+
+def changed(rnd, words, n):
+    words = list(words)
+    for _ in range(n):
+        at = rnd.randrange(len(words))
+        words[at : at + 1] = rnd.choice([[], ["new%d" % rnd.randrange(9999)], [words[at], "more%d" % rnd.randrange(9999)]])
+    return words
+
+
+def test_wide_print_measures_the_similarity_of_five_words():
+    rnd = random.Random(8)
+    for _ in range(150):
+        t = [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([60, 200, 700]))]
+        u = changed(rnd, t, rnd.randrange(len(t) // 12))
+        a, b = simhash.wide_print(" ".join(t)), simhash.wide_print(" ".join(u))
+        assert a[0] == simhash.fingerprint(" ".join(t))
+        x, y = shingles(" ".join(t)), shingles(" ".join(u))
+        bits = sum((p ^ q).bit_count() for p, q in zip(a[1], b[1]))
+        j = len(x & y) / len(x | y)
+        assert (j < 0.85 or bits <= simhash.SIMILAR_BITS) and (j > 0.6 or bits > simhash.SIMILAR_BITS), (j, bits)
+    assert simhash.wide_print(None) == simhash.wide_print(" \n") == (0, [0] * 4, [])
+    assert simhash.wide_print("One  TWO") == simhash.wide_print("one two")
+
+
+def test_similar_texts_are_dropped(spark, monkeypatch):
+    rnd = random.Random(4)
+    shared = [f"s{i}" for i in range(60)]
+    texts, d = {}, 0
+    for g in range(40):
+        t = [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([50, 120, 500]))]
+        size = 60 if g == 0 else rnd.choice([1, 1, 2, 4])
+        for k in range(size):  # one group is larger than FEW; a passage is shared by documents that are not similar
+            body = changed(rnd, t, rnd.randrange(1 + len(t) // 45)) if k else t
+            texts[d] = " ".join(body + (shared if len(t) == 500 and g else []))
+            d += 1
+    texts |= {d: None, d + 1: "", d + 2: "two words", d + 3: "two  Words"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("w0", F.lit(1)).withColumn("parts", F.lit("x"))
+    want = groups(texts)
+    got = simhash.drop_near_duplicates(df, similar=True)
+    assert got.columns == df.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
+    assert len(set(want.values())) < 50
+    low = simhash.drop_near_duplicates(df.limit(0), similar=True)
+    assert low.collect() == []
+
+
 def test_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWDED", 6)
     rnd = random.Random(3)
