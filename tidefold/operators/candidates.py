@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidefold.functions.columns import related
 from tidefold.operators.fold import as_arrays, coherent_profiles, usable_harmonics
 from tidefold.operators.interp import fourier_interp, harmonics
 from tidefold.operators.islands import islands
@@ -52,6 +53,23 @@ def remove_harmonics(cands: DataFrame, numharm: int = 16, tol: float = 1.0) -> D
     return cands.groupBy("obs").applyInPandas(lambda pdf: _greedy(pdf, numharm, tol), cands.schema)
 
 
+def harmonic_pairs(cands: DataFrame, numharm: int = 16, tol: float = 1.0) -> DataFrame:
+    """``(obs, ra, rb)``, ``ra < rb``: all pairs of one observation that are harmonically related.
+
+    A related ``rb`` lies within ``tol`` of a ratio ``n / m`` of ``ra``, so candidates meet in an equi-join
+    on bins of ``2 * tol`` around each of the ratios instead of each with every other.
+    """
+    width = 2.0 * max(tol, 1e-9)
+    ratios = sorted({n / m for m in range(1, numharm + 1) for n in range(m, numharm + 1)})
+    low = cands.where("r > 0").select("obs", F.col("r").alias("ra"), F.explode(F.array(*[F.lit(q) for q in ratios])).alias("q"))
+    at, reach = F.col("ra") * F.col("q"), F.lit(tol + 1e-6)
+    bins = F.sequence(F.floor((at - reach) / width), F.floor((at + reach) / width))
+    low = low.select("obs", "ra", F.explode(bins).alias("bin")).distinct()
+    high = cands.select("obs", F.col("r").alias("rb"), F.floor(F.col("r") / width).alias("bin"))
+    pairs = low.join(high, ["obs", "bin"]).where("ra < rb")
+    return pairs.where(related(F.col("ra"), F.col("rb"), numharm, tol)).select("obs", "ra", "rb").distinct()
+
+
 def top_candidates(cands: DataFrame, n: int = 100) -> DataFrame:
     """The ``n`` strongest per observation, ranked from 1."""
     rank = F.row_number().over(Window.partitionBy("obs").orderBy(F.desc("metric"), "r", "nharm"))
@@ -90,4 +108,4 @@ def measure_ducy(cands: DataFrame, spec: DataFrame, n_half: int, fsp: float = 1.
     return cands.drop("ducy").join(found, ["obs", "r", "nharm"], "left").select(*[c for c in cands.columns if c != "ducy"], "ducy")
 
 
-__all__ = ["candidate_profiles", "coherent_profiles", "harmonics", "measure_ducy", "remove_duplicates", "remove_harmonics", "top_candidates"]
+__all__ = ["candidate_profiles", "coherent_profiles", "harmonic_pairs", "harmonics", "measure_ducy", "remove_duplicates", "remove_harmonics", "top_candidates"]

@@ -278,8 +278,8 @@ def metrics(spark, sf, params=PARAMS, threshold=None):
 FLAGSHIP = f"{q.all_metrics(PARAMS)} SELECT t, block, {r6('r')} AS r, {r6('metric')} AS metric FROM met"
 
 
-@register("coherent_search_events", FLAGSHIP)
-def coherent_search_events(spark, sf):
+@register("harmonic_search_events", FLAGSHIP)
+def harmonic_search_events(spark, sf):
     """Metric of every trial of the event spectrum."""
     return metrics(spark, sf).select("t", "block", rd("r"), rd("metric"))
 

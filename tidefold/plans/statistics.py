@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidefold.functions.columns import related
 from tidefold.operators import candidates, search, stats
 from tidefold.params import log_edges
 from tidefold.plans import sqlparts as q
@@ -164,15 +163,9 @@ def _(spark, sf):
 RELATED = "len(list_filter(range(1, 17), lambda m: least({a}, {b}) > 0 AND round_even(m * greatest({a}, {b}) / least({a}, {b}), 0) BETWEEN 1 AND 16 AND abs(m * greatest({a}, {b}) - round_even(m * greatest({a}, {b}) / least({a}, {b}), 0) * least({a}, {b})) <= 1.0 * m)) > 0"
 
 
-@register(
-    "harmonic_related_pairs",
-    f"{DEDUP}, tops AS (SELECT * FROM dd ORDER BY metric DESC, r LIMIT 40) SELECT {r6('x.r')} AS ra, {r6('y.r')} AS rb FROM tops x JOIN tops y ON x.r < y.r WHERE {RELATED.format(a='x.r', b='y.r')}",
-)
+@register("harmonic_related_pairs", f"{DEDUP} SELECT {r6('x.r')} AS ra, {r6('y.r')} AS rb FROM dd x JOIN dd y ON x.r < y.r WHERE {RELATED.format(a='x.r', b='y.r')}")
 def _(spark, sf):
-    # the strongest 40: a top-k report
-    top = candidates.top_candidates(deduped(spark, sf), 40).select("obs", "r")
-    pairs = top.withColumnRenamed("r", "ra").join(top.withColumnRenamed("r", "rb"), "obs").where("ra < rb")
-    return pairs.where(related(F.col("ra"), F.col("rb"), 16, 1.0)).select(rd("ra"), rd("rb"))
+    return candidates.harmonic_pairs(deduped(spark, sf), 16, 1.0).select(rd("ra"), rd("rb"))
 
 
 HARM = f"""{DEDUP.replace("WITH ", "WITH RECURSIVE ", 1)},
