@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.operators import candidates, sift, stats
-from tidefold.operators.search import search_normalized, trial_metrics
+from tidefold.operators.search import block_accumulators, search_normalized, trial_metrics
 from tidefold.params import SearchParams, decimation_set
+from tidefold.shared import settled
 from tidefold.sources import fft, text, writers
 
 _RANKED = ("obs", "freq", "metric", "r", "nharm", "rank", "ducy")
@@ -59,7 +60,7 @@ def search_files(
         pages = fft.read_fft(spark, of).withColumnRenamed("path", "obs")
         spec = pages.select("obs", F.explode(F.arrays_zip("bins", "re", "im")).alias("s")).select("obs", F.col("s.bins").alias("bin"), "s.re", "s.im")
         if normalize:
-            cands = search_normalized(spec, params, lo, hi, n // 2, t_span)
+            cands = search_normalized(pages, params, lo, hi, n // 2, t_span, pages=pages)
         else:
             hits = trial_metrics(pages, params, lo, hi, n // 2, params.threshold, pages=pages)
             cands = hits.select("obs", (F.col("r") / F.lit(t_span)).alias("freq"), "metric", "r", "nharm")
@@ -72,15 +73,29 @@ def search_files(
     return found
 
 
-def metric_tables(spark: SparkSession, paths: list[str], params: SearchParams, lofreq: float, hifreq: float, lobin: int = 1) -> DataFrame:
-    """``(obs, k, block, line)``: the metric's statistics of all blocks, a line each."""
-    found = None
+def metric_tables(spark: SparkSession, paths: list[str], params: SearchParams, lofreq: float, hifreq: float, lobin: int = 1, windows: int = 16) -> dict[str, DataFrame]:
+    """Lines ``(obs, .., line)`` of three tables: ``metricstats`` a block, ``metricfap`` a window, ``metrichist`` a histogram bin.
+
+    All three come from the blocks' accumulators, which are made once and stored.
+    """
+    out: dict[str, DataFrame] = {}
     for n, dt, of in kinds_of(spark, paths):
+        t_span, lo = n * dt, max(lofreq * n * dt, float(lobin))
+        hi = hifreq * t_span
         pages = fft.read_fft(spark, of).withColumnRenamed("path", "obs")
-        metrics = trial_metrics(pages, params, max(lofreq * n * dt, float(lobin)), hifreq * n * dt, n // 2, pages=pages)
-        lines = writers.block_table(stats.block_metric_stats(metrics, n * dt))
-        found = lines if found is None else found.unionByName(lines)
-    return found
+        acc = settled(stats.with_window(block_accumulators(pages, params, lo, hi, n // 2, pages=pages), params, t_span, lo, hi, windows), "accumulators")
+        hist = stats.merged_histogram(acc, ["obs", "k", "win"]).join(acc.groupBy("obs", "k", "win").agg(F.min("rmin").alias("rmin"), F.max("rmax").alias("rmax")), ["obs", "k", "win"])
+        made = {
+            "metricstats": writers.block_table(stats.block_stats(acc, t_span), params.nharms, stats.good_harmonics_of(acc, params.nharms, n // 2)),
+            "metricfap": writers.fap_table(stats.merged_summary(acc, ["obs", "k", "win"], writers.FILE_FAPS), params.nharms, t_span),
+            "metrichist": writers.histogram_table(hist, params.nharms, t_span),
+        }
+        out = {k: v if k not in out else out[k].unionByName(v) for k, v in made.items()}
+    return out
+
+
+#: The headers and the order of the statistics files' lines.
+_TABLES = {"metricstats": (writers.BLOCK_HEADER, ["block", "k"]), "metricfap": (writers.FAP_HEADER, ["k", "win"]), "metrichist": (writers.HIST_HEADER, ["k", "win", "bin"])}
 
 
 def _write(lines: list[str], goal: str | None) -> None:
@@ -102,23 +117,32 @@ def run_search(spark: SparkSession, args: argparse.Namespace) -> None:
     for name, goal in zip(args.files, goals):
         _write([text.HEADER, *(r["line"] for r in rows if _local(r["obs"]) == _local(name))], goal)
     if args.metricstats:
-        lines = metric_tables(spark, args.files, params, args.lofreq, args.hifreq, args.lobin)
+        tables = metric_tables(spark, args.files, params, args.lofreq, args.hifreq, args.lobin)
         for name, goal in zip(args.files, goals):
             stem = os.path.splitext(goal or os.path.basename(name))[0]
-            own = lines.where(F.element_at(F.split("obs", "/"), -1) == os.path.basename(name)).orderBy("k", "block")
-            # a line a block, streamed to the file
-            table = (r["line"] for r in own.toLocalIterator() if _local(r["obs"]) == _local(name))
-            with open(stem + "_metricstats.txt", "w") as out:
-                out.write(writers.BLOCK_HEADER + "\n")
-                out.writelines(x + "\n" for x in table)
+            for kind, (header, order) in _TABLES.items():
+                own = tables[kind].where(F.element_at(F.split("obs", "/"), -1) == os.path.basename(name)).orderBy(*order)
+                # a line a row, streamed to the file
+                lines = (r["line"] for r in own.toLocalIterator() if _local(r["obs"]) == _local(name))
+                with open(f"{stem}_{kind}.txt", "w") as out:
+                    out.write(f"# metric=boxcar nharms={params.nharms} threshold={params.threshold}\n{header}\n")
+                    out.writelines(x + "\n" for x in lines)
 
 
 def run_sift(spark: SparkSession, args: argparse.Namespace) -> None:
-    rows = text.read_candidates(spark, text.candidate_paths(args.files), args.regex, args.min_snr).withColumn("id", F.col("rank"))
+    paths = text.candidate_paths(args.files)
+    rows = text.read_candidates(spark, paths, args.regex, args.min_snr).withColumn("id", F.col("rank"))
     grid = sift.dm_grid(rows)
     sigs = sift.signals(sift.detections(rows, args.within_tol, grid), args.cross_tol, sift.dm_step(grid), args.long_period_ms)
-    ranked = sift.report(sift.score_signals(sift.mark_harmonics(sigs), args.min_dms), args.min_obs, args.min_score, args.top)
-    _write([r["line"] for r in sift.report_lines(ranked, args.dm_decimals).orderBy("rank").collect()], args.output)  # at most --top lines
+    scored = settled(sift.score_signals(sift.mark_harmonics(sigs), args.min_dms), "signals")
+    ranked = settled(sift.report(scored, args.min_obs, args.min_score, args.top), "ranked")
+    lines = sift.report_lines(ranked, args.dm_decimals).select("rank", F.lit(0).alias("part"), "line")
+    if args.verbose:
+        lines = lines.unionByName(sift.report_details(ranked, args.dm_decimals))
+    body = [r["line"] for r in lines.orderBy("rank", "part").collect()]  # at most --top signals
+    head = sift.report_header(rows, ranked, len(paths), vars(args))
+    tail = ["#", f"# {ranked.count()} signals shown (of {scored.count()} total; use --min-score / --top to adjust)."]
+    _write([*head, *body, *tail], args.output)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -141,6 +165,7 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("files", nargs="+", help="candidate files, globs or folders")
     f.add_argument("--regex", default=text.NAME_PATTERN, help="pattern of file names with the groups obs and dm")
     f.add_argument("-o", "--output", help="report file")
+    f.add_argument("-v", "--verbose", action="store_true", help="the components of each score, and a line per observation")
     for name, kind, default in (
         ("within-tol", float, 1e-5), ("cross-tol", float, 1e-5), ("min-snr", float, 0.0), ("min-dms", int, 2), ("min-obs", int, 1),
         ("long-period-ms", float, 100.0), ("min-score", float, None), ("top", int, 60), ("dm-decimals", int, 2),

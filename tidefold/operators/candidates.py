@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from tidefold.operators.fold import as_arrays, coherent_profiles, usable_harmoni
 from tidefold.operators.interp import fourier_interp, harmonics
 from tidefold.operators.islands import islands
 from tidefold.operators.metric import best_width
+from tidefold.shared import settled
+
+#: Undecided candidates of an observation that one task settles.
+SMALL = 4096
 
 
 def remove_duplicates(cands: DataFrame, dr_tol: float = 1.0) -> DataFrame:
@@ -25,32 +30,74 @@ def remove_duplicates(cands: DataFrame, dr_tol: float = 1.0) -> DataFrame:
 
 
 def _greedy(pdf: pd.DataFrame, numharm: int, tol: float) -> pd.DataFrame:
-    import numpy as np
-
-    pdf = pdf.sort_values(["metric", "r"], ascending=[False, True], kind="stable")
-    kept: list[float] = []
-    rows = []
+    """Strongest first, the rows not related to one taken before."""
+    pdf = pdf.sort_values(["metric", "r", "nharm"], ascending=[False, True, True], kind="stable")
+    r = pdf["r"].to_numpy()
     m = np.arange(1, numharm + 1)[:, None]
-    for i, r in enumerate(pdf["r"].to_numpy()):
-        if kept:
-            k = np.array(kept)[None, :]
-            lo, hi = np.minimum(k, r), np.maximum(k, r)
-            ok = lo > 0
-            n = np.rint(m * hi / np.where(ok, lo, 1.0))
-            if ((n >= 1) & (n <= numharm) & ok & (np.abs(m * hi - n * lo) <= tol * m)).any():
-                continue
-        kept.append(r)
-        rows.append(i)
-    return pdf.iloc[rows]
-
-
-def remove_harmonics(cands: DataFrame, numharm: int = 16, tol: float = 1.0) -> DataFrame:
+    left, taken = np.arange(len(r)), []
+    while len(left):
+        taken.append(left[0])
+        rest = left[1:]
+        lo, hi = np.minimum(r[rest], r[left[0]]), np.maximum(r[rest], r[left[0]])
+        ok = lo > 0
+        n = np.rint(m * hi / np.where(ok, lo, 1.0))
+        related_to = ((n >= 1) & (n <= numharm) & ok & (np.abs(m * hi - n * lo) <= tol * m)).any(axis=0)
+        left = rest[~related_to]
+    return pdf.iloc[taken]
+
+
+def remove_harmonics(cands: DataFrame, numharm: int = 16, tol: float = 1.0, small: int = SMALL) -> DataFrame:
     """Strongest first, a candidate stays unless it is harmonically related to one that stayed.
 
-    The choice is sequential within an observation, on thresholded and
-    deduplicated candidates; observations are independent of one another.
+    That is the first maximal independent set of the related candidates in the
+    order of metric (falling), ``r``, ``nharm``.  While an observation has more
+    than ``small`` undecided candidates it is found in rounds of joins: the
+    strongest of each cell of ``tol`` in ``r`` (whose members are all related) is
+    taken if no stronger undecided candidate is related to it, and those related
+    to a taken one go.  Each round takes the strongest of every observation at
+    least.  What is left then does not depend on what was taken, and is settled
+    a group at a time.  Equal rows: one stays.
     """
-    return cands.groupBy("obs").applyInPandas(lambda pdf: _greedy(pdf, numharm, tol), cands.schema)
+    keys = ["obs", "r", "nharm", "metric"]
+    rows = cands.where("r is not null and metric is not null").dropDuplicates(keys)
+    undecided, taken = rows.select(*keys), None
+    while _most(undecided, "obs") > small:
+        undecided = settled(undecided, "undecided") if taken is None else undecided
+        rank = F.struct((-F.col("metric")).alias("m"), "r", "nharm")
+        cells = F.floor(F.col("r") / F.lit(max(tol, 1e-9)))
+        tops = undecided.groupBy("obs", cells.alias("cell")).agg(F.min(rank).alias("a")).select("obs", F.col("a.r").alias("r"), "a")
+        near = _meetings(tops, undecided.select("obs", "r", rank.alias("b")), numharm, tol, ("a", "b")).where("a <> b")
+        near = settled(near, "near")
+        blocked = near.where("b < a").select("obs", "a").distinct()
+        won = settled(tops.select("obs", "a").join(blocked, ["obs", "a"], "left_anti"), "won")
+        gone = near.join(won, ["obs", "a"], "left_semi").select("obs", F.col("b").alias("x")).unionByName(won.select("obs", F.col("a").alias("x"))).distinct()
+        taken = won if taken is None else taken.unionByName(won)
+        undecided = settled(undecided.withColumn("x", rank).join(gone, ["obs", "x"], "left_anti").drop("x"), "undecided")
+    rest = undecided.groupBy("obs").applyInPandas(lambda pdf: _greedy(pdf, numharm, tol), undecided.schema)
+    if taken is not None:
+        rest = rest.unionByName(taken.select("obs", F.col("a.r").alias("r"), F.col("a.nharm").alias("nharm"), (-F.col("a.m")).alias("metric")))
+    return rows.join(rest, keys, "left_semi").select(*cands.columns)
+
+
+def _most(df: DataFrame, key: str) -> int:
+    """Rows of the largest group."""
+    return df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+
+
+def _meetings(a: DataFrame, b: DataFrame, numharm: int, tol: float, keep: tuple[str, str]) -> DataFrame:
+    """``(obs, keep)`` of all related pairs of ``a(obs, r, ..)`` and ``b(obs, r, ..)``.
+
+    A related frequency lies within ``tol`` of a ratio ``n / m`` above or below, so rows meet in an equi-join
+    on bins of ``2 * tol`` around each ratio instead of each with every other.
+    """
+    width = 2.0 * max(tol, 1e-9)
+    ratios = sorted({n / m for m in range(1, numharm + 1) for n in range(1, numharm + 1)})
+    at, reach = F.col("r") * F.col("q"), F.lit(tol + 1e-6)
+    spread = a.where("r > 0").select("obs", "r", keep[0], F.explode(F.array(*[F.lit(q) for q in ratios])).alias("q"))
+    spread = spread.select("obs", F.col("r").alias("_ra"), keep[0], F.explode(F.sequence(F.floor((at - reach) / width), F.floor((at + reach) / width))).alias("_bin")).distinct()
+    other = b.where("r > 0").select("obs", F.col("r").alias("_rb"), keep[1], F.floor(F.col("r") / width).alias("_bin"))
+    met = spread.join(other, ["obs", "_bin"])
+    return met.where(related(F.least("_ra", "_rb"), F.greatest("_ra", "_rb"), numharm, tol)).select("obs", *keep).distinct()
 
 
 def harmonic_pairs(cands: DataFrame, numharm: int = 16, tol: float = 1.0) -> DataFrame:

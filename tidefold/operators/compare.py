@@ -7,33 +7,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.params import SearchParams, boxcar_widths, trial_count
+from tidefold.shared import settled
 
+#: Pairs of an observation that one task settles.
+SMALL = 20_000
 
-def crossmatch(a: DataFrame, b: DataFrame, t_span: float, tol_bins: float) -> DataFrame:
+
+def crossmatch(a: DataFrame, b: DataFrame, t_span: float, tol_bins: float, small: int = SMALL) -> DataFrame:
     """``(obs, id_a, id_b, dist_bins)``: one-to-one matches of nearest candidates, the strongest of ``a`` first.
 
     Inputs: obs, id, freq, snr.  Unmatched rows of either side have a null on the
     other.  Candidate pairs come from a join on frequency cells as wide as the
-    tolerance; the one-to-one choice over the pairs is sequential within an
-    observation.  Ties: lower id.
+    tolerance.  Pairs are accepted in the order of strength (falling), id of
+    ``a``, distance, id of ``b``; a pair that comes first for both of its
+    members is accepted whatever happens elsewhere, so while an observation has
+    more than ``small`` pairs they are accepted in rounds of such pairs, and the
+    rest, which no accepted pair touches, a group at a time.
     """
     left = a.select("obs", F.col("id").alias("id_a"), F.col("freq").alias("fa"), F.col("snr").alias("sa")).withColumn("cell", cell_of("fa", t_span, tol_bins))
     right = b.select("obs", F.col("id").alias("id_b"), F.col("freq").alias("fb"), F.col("snr").alias("sb"))
     right = right.withColumn("cell", F.explode(F.array(*[cell_of("fb", t_span, tol_bins) + d for d in (-1, 0, 1)])))
     dist = F.abs(F.col("fa") - F.col("fb")) * F.lit(t_span)
     pairs = left.join(right, ["obs", "cell"]).withColumn("d", dist).where(F.col("d") <= F.lit(tol_bins)).select("obs", "id_a", "sa", "id_b", "d")
+    pairs, matched = settled(pairs, "pairs"), None
+    while (pairs.groupBy("obs").count().agg(F.max("count")).first()[0] or 0) > small:
+        order = F.struct(F.col("sa").isNull().alias("none"), (-F.col("sa")).alias("s"), "id_a", "d", "id_b")
+        first = [pairs.groupBy("obs", side).agg(F.min(order).alias("o")).select("obs", F.col("o.id_a").alias("id_a"), F.col("o.id_b").alias("id_b"), F.col("o.d").alias("d")) for side in ("id_a", "id_b")]
+        agreed = settled(first[0].join(first[1].drop("d"), ["obs", "id_a", "id_b"]), "agreed")
+        matched = agreed if matched is None else matched.unionByName(agreed)
+        pairs = settled(pairs.join(agreed.select("obs", "id_a"), ["obs", "id_a"], "left_anti").join(agreed.select("obs", "id_b"), ["obs", "id_b"], "left_anti"), "pairs")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["sa", "id_a", "d", "id_b"], ascending=[False, True, True, True], kind="stable")
-        used_a, used_b, out = set(), set(), []
-        for obs, x, y, d in zip(pdf["obs"], pdf["id_a"], pdf["id_b"], pdf["d"]):
+        used_a, used_b, taken = set(), set(), []
+        for i, (x, y) in enumerate(zip(pdf["id_a"], pdf["id_b"])):
             if x not in used_a and y not in used_b:
                 used_a.add(x), used_b.add(y)
-                out.append((obs, x, y, d))
-        return pd.DataFrame(out, columns=["obs", "id_a", "id_b", "dist_bins"])
+                taken.append(i)
+        return pdf.iloc[taken][["obs", "id_a", "id_b", "d"]]
 
-    kinds = f"obs {a.schema['obs'].dataType.simpleString()}, id_a {a.schema['id'].dataType.simpleString()}, id_b {b.schema['id'].dataType.simpleString()}, dist_bins double"
-    matched = pairs.groupBy("obs").applyInPandas(choose, kinds)
+    kinds = f"obs {a.schema['obs'].dataType.simpleString()}, id_a {a.schema['id'].dataType.simpleString()}, id_b {b.schema['id'].dataType.simpleString()}, d double"
+    rest = pairs.groupBy("obs").applyInPandas(choose, kinds)
+    matched = settled((rest if matched is None else rest.unionByName(matched.select("obs", "id_a", "id_b", "d"))).withColumnRenamed("d", "dist_bins"), "matched")
     only_a = left.join(matched, ["obs", "id_a"], "left_anti").select("obs", "id_a", F.lit(None).cast(b.schema["id"].dataType).alias("id_b"), F.lit(None).cast("double").alias("dist_bins"))
     only_b = b.select("obs", F.col("id").alias("id_b")).join(matched, ["obs", "id_b"], "left_anti")
     only_b = only_b.select("obs", F.lit(None).cast(a.schema["id"].dataType).alias("id_a"), "id_b", F.lit(None).cast("double").alias("dist_bins"))

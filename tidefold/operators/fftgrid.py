@@ -1,4 +1,4 @@
-"""The fine interpolation grid by one FFT convolution per observation and bin range."""
+"""The fine interpolation grid by FFT convolutions of overlapping pages."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidefold.operators.spectrum import PAGE_BINS
 from tidefold.params import next_smooth
 
 
@@ -37,15 +38,28 @@ def fine_amplitudes(bins: np.ndarray, numbins: int, numbetween: int, m: int, len
     return out[m // 2 * numbetween : (m // 2 + numbins) * numbetween]
 
 
-def fine_grid_fft(spec: DataFrame, lobin: int, numbins: int, numbetween: int, m: int) -> DataFrame:
-    """``(obs, g, re, im)`` like ``interp.fine_grid``; bins missing from the spectrum are zero."""
-    first, count = lobin - m // 2, numbins + m
-    near = spec.where(F.col("bin").between(first, first + count - 1))
+def fine_grid_fft(spec: DataFrame, lobin: int, numbins: int, numbetween: int, m: int, page_bins: int = PAGE_BINS) -> DataFrame:
+    """``(obs, g, re, im)`` like ``interp.fine_grid``, of any range up to the whole spectrum; bins missing from it are zero.
+
+    Overlap-save: a bin also goes to the neighbouring pages within m/2 of it, and
+    each page is convolved by itself with that margin, as a task of its own.  The
+    values do not depend on ``page_bins``.
+    """
+    if m > 2 * page_bins:
+        raise ValueError("a page has to hold half of the kernel")
+    half, last = m // 2, lobin + numbins - 1
+    page = lambda d: F.floor((F.col("bin") - lobin + d) / page_bins)
+    near = spec.where(F.col("bin").between(lobin - half, last + half))
+    near = near.withColumn("page", F.explode(F.array_distinct(F.array(page(-half), page(0), page(half))))).where(F.col("page").between(0, (numbins - 1) // page_bins))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros(count, np.complex128)
-        x[pdf["bin"].to_numpy() - first] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        a = fine_amplitudes(x, numbins, numbetween, m)
-        return pd.DataFrame({"obs": pdf["obs"].iloc[0], "g": np.arange(len(a)), "re": a.real, "im": a.imag})
+        at = int(pdf["page"].iloc[0])
+        first, count = lobin + at * page_bins, min(page_bins, numbins - at * page_bins)
+        x = np.zeros(count + m, np.complex128)
+        place = pdf["bin"].to_numpy() - (first - half)
+        inside = place < count + m
+        x[place[inside]] = (pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy())[inside]
+        a = fine_amplitudes(x, count, numbetween, m)
+        return pd.DataFrame({"obs": pdf["obs"].iloc[0], "g": (first - lobin) * numbetween + np.arange(len(a)), "re": a.real, "im": a.imag})
 
-    return near.groupBy("obs").applyInPandas(run, "obs string, g bigint, re double, im double")
+    return near.groupBy("obs", "page").applyInPandas(run, "obs string, g bigint, re double, im double")

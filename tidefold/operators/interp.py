@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.functions.columns import floor_bin, sinc
@@ -16,6 +16,36 @@ def trial_grid(spark: SparkSession, r_lo: float, r_hi: float, lodr: float, block
     )
 
 
+def trial_grids(grids: DataFrame, blocksize: int) -> DataFrame:
+    """``grids`` with a row per trial ``(t, block, r)``: a progression for each row's own ``r_lo, r_hi, step``.
+
+    Rows with a null, or a step that is not positive, have no trials.
+    """
+    count = F.floor((F.col("r_hi") - F.col("r_lo")) / F.when(F.col("step") > 0, F.col("step"))) + 1
+    each = grids.where(count > 0).withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)))
+    return each.withColumn("block", F.floor(F.col("t") / blocksize)).withColumn("r", F.col("r_lo") + F.col("t") * F.col("step"))
+
+
+def harmonic_guards(trials: DataFrame, nharms: int, m: int, keys: list[str]) -> DataFrame:
+    """``(keys, block, h, ok)`` as ``harmonic_guard``, for trials of many spectra with ``n_half`` bins each."""
+    blocks = trials.groupBy(*keys, "block").agg(F.min("r").alias("r_first"), F.max("r").alias("r_last"), F.max("n_half").alias("n_half"))
+    lo, hi = F.floor(F.col("h") * F.col("r_first")), F.floor(F.col("h") * F.col("r_last"))
+    ok = (lo + 2 - m // 2 >= 1) & (hi < F.col("n_half")) & (hi + m // 2 < F.col("n_half"))
+    return blocks.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(nharms)))).select(*keys, "block", "h", ok.alias("ok"))
+
+
+def finterp_multi(points: DataFrame, spec: DataFrame, keys: list[str], each: list[str], m: int, r: str = "rh") -> DataFrame:
+    """``(keys, each, re, im)``: many points of one ``keys`` group, all between the same two bins.
+
+    A group whose points lie in different bins raises when it is read.
+    """
+    at = F.floor(F.col(r) + F.lit(1e-15))
+    group = Window.partitionBy("obs", *keys)
+    same = F.min(at).over(group) == F.max(at).over(group)
+    ok = F.when(same, F.col(r)).otherwise(F.raise_error(F.lit("points of a group must lie between the same two bins")).cast("double"))
+    return interp_direct(points.withColumn(r, ok), spec, [*keys, *each], m, r)
+
+
 def trial_blocks(grid: DataFrame) -> DataFrame:
     """``(block, n, t_first, r_first, r_last)``."""
     return grid.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t_first"), F.min("r").alias("r_first"), F.max("r").alias("r_last"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidefold.functions.columns import array_median
 from tidefold.params import SIGMA_SAMPLES, boxcar_widths
 
 
@@ -59,19 +60,48 @@ def _map_profiles(df: DataFrame, column: str, kind: str, fn: Callable[[np.ndarra
         for b in batches:
             lists = b.column(at)
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            made: list[list] = [[None] * b.num_rows for _ in outs]
-            for size in set(sizes.tolist()) - {0}:
+            order, made = [np.flatnonzero(sizes == 0)], []
+            for size in sorted(set(sizes.tolist()) - {0}):
                 rows = np.flatnonzero(sizes == size)
                 flat = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
-                for o, v in enumerate(fn(flat.reshape(len(rows), size)).values()):
-                    for r, x in zip(rows.tolist(), v.tolist()):
-                        made[o][r] = x
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(m, t) for m, t in zip(made, arrow))], [*b.schema.names, *outs])
+                order.append(rows)
+                made.append(list(fn(flat.reshape(len(rows), size)).values()))
+            back = pa.array(np.argsort(np.concatenate(order), kind="stable"))
+            cols = [pa.concat_arrays([pa.nulls(len(order[0]), t), *(pa.array(part[o], t) for part in made)]).take(back) for o, t in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *outs])
 
     added = StructType.fromDDL(kind)
     return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
 
 
+def prefix_sums(df: DataFrame, keys: list[str], widest: int, column: str = "profile") -> DataFrame:
+    """``(keys, i, psum)``: running sums of a profile about its median, tiled by its first ``widest`` bins; ``psum`` at 0 is 0.
+
+    A box of ``w`` bins from phase p is the difference of the sums at p + w and p.
+    """
+    n = F.size(column)
+    tiled = F.concat(F.col(column), F.slice(F.col(column), F.lit(1), F.least(n, F.lit(widest))))
+    each = df.where(n > 0).select(*keys, array_median(F.col(column)).alias("_md"), F.posexplode(tiled).alias("i", "_v"))
+    upto = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    sums = each.select(*keys, (F.col("i") + 1).alias("i"), F.sum(F.col("_v") - F.col("_md")).over(upto).alias("psum"))
+    return sums.unionByName(df.where(n > 0).select(*keys, F.lit(0).alias("i"), F.lit(0.0).alias("psum")))
+
+
+def boxcar_best(df: DataFrame, keys: list[str], banks: DataFrame, column: str = "profile") -> DataFrame:
+    """``(keys, score, width)`` by relations alone: prefix sums joined at ``i + w`` for the widths ``banks(nbins, w)`` of each length.
+
+    Equals ``boxcar_scan``; linear in bins times widths, with profiles of any lengths together.
+    """
+    widest = banks.agg(F.max("w")).first()[0] or 1  # one number
+    sums = prefix_sums(df, keys, int(widest), column)
+    sizes = df.select(*keys, F.size(column).alias("nbins"))
+    starts = sums.join(sizes, keys).where(F.col("i") < F.col("nbins")).join(F.broadcast(banks), "nbins")
+    starts = starts.select(*keys, "w", (F.col("i") + F.col("w")).cast("int").alias("i"), F.col("psum").alias("_from"))
+    each = starts.join(sums, [*keys, "i"]).groupBy(*keys, "w").agg((F.max(F.col("psum") - F.col("_from")) / F.sqrt("w")).alias("s"))
+    best = F.max(F.struct(F.round("s", 12), (-F.col("w")).alias("w"), "s")).alias("b")
+    return each.groupBy(*keys).agg(best).select(*keys, F.col("b.s").alias("score"), (-F.col("b.w")).alias("width"))
+
+
 def best_width(df: DataFrame, column: str = "profile", fsp: float = 1.5, maxfrac: float = 0.3) -> DataFrame:
     """Adds ``width`` and ``ducy``: the boxcar that matches best, narrowest on ties, and its share of the profile."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,6 +128,7 @@ def signals(dets: DataFrame, cross_tol: float, step: DataFrame, long_period_ms:
         _share(~F.col("has_neighbour")).alias("frac_single"),
         _share(broad).alias("frac_broadband"),
         F.bool_and("full_span").alias("all_full_span"),
+        F.sort_array(F.collect_list(F.struct("obs", "best_dm", "best_snr", "ndms", "dm_min", "dm_max", "peak_at_edge"))).alias("dets"),  # one an observation
     )
     spread = F.transform("_dms", lambda x: F.abs(x - F.col("dm_med")))
     outs = [c for c in grouped.columns if c not in ("cluster", "top", "_dms")]
@@ -147,22 +149,20 @@ def mark_harmonics(sigs: DataFrame, tol: float = 1e-3) -> DataFrame:
     """
     top = sigs.orderBy(F.desc(F.col("sum_snr") * F.col("n_obs")), "freq").limit(HARMONIC_TOPK).select("cluster", "freq", (F.col("sum_snr") * F.col("n_obs")).alias("_w"), F.lit(0).alias("_one"))
 
+    ratios = np.array([n / d for n, d in HARMONIC_RATIOS])
+    names = [f"x{n}" if d == 1 else f"{n}/{d}" for n, d in HARMONIC_RATIOS]
+
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_w", "freq"], ascending=[False, True], kind="stable")
-        funds: list[float] = []
-        out = []
-        for cluster, f in zip(pdf["cluster"], pdf["freq"]):
-            label = None
-            for g in funds:
-                hit = next((nd for nd in HARMONIC_RATIOS if abs(f - g * (nd[0] / nd[1])) < tol * g * (nd[0] / nd[1])), None)
-                if hit:
-                    label = (g, f"x{hit[0]}" if hit[1] == 1 else f"{hit[0]}/{hit[1]}")
-                    break
-            if label:
-                out.append((cluster, *label))
-            else:
-                funds.append(f)
-        return pd.DataFrame(out, columns=["cluster", "harmonic_of", "harm_str"])
+        f, clusters = pdf["freq"].to_numpy(), pdf["cluster"].to_numpy()
+        left, parts = np.arange(len(f)), []
+        while len(left):  # the strongest that is left is a fundamental, and takes its harmonics
+            base, rest = f[left[0]], left[1:]
+            near = np.abs(f[rest][:, None] - base * ratios) < tol * base * ratios
+            hit = near.any(axis=1)
+            parts += [(c, base, names[i]) for c, i in zip(clusters[rest[hit]].tolist(), near[hit].argmax(axis=1).tolist())]
+            left = rest[~hit]
+        return pd.DataFrame(parts, columns=["cluster", "harmonic_of", "harm_str"]).astype({"harm_str": object})
 
     found = top.groupBy("_one").applyInPandas(walk, "cluster bigint, harmonic_of double, harm_str string")
     return sigs.join(found, "cluster", "left")
@@ -227,3 +227,31 @@ def report_lines(ranked: DataFrame, dm_decimals: int = 2) -> DataFrame:
         "sum_snr", "max_snr", "dm_med", "dm_mad_steps", "freq_frac_spread", F.concat_ws(";", "flags"),
     )
     return ranked.select("rank", line.alias("line"))
+
+
+#: The header of the report's columns.
+REPORT_HEADER = "# rank  class           freq(Hz)        P(ms)  #obs  #har   ducy%   sumS/N   maxS/N   peakDM  dMAD(st)  dffrac  flags"
+
+
+def report_details(ranked: DataFrame, dm_decimals: int = 2) -> DataFrame:
+    """``(rank, part, line)``: below a signal's line its score with all components, and a line per observation."""
+    terms = F.transform(F.map_entries("components"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%+.1f", e["value"])))
+    score = F.concat(F.format_string("        score=%.1f  [", "score"), F.array_join(terms, "  "), F.lit("]"))
+    fmt = f"        %-14s peakDM=%.{dm_decimals}f  S/N=%.1f  #DM=%d  DMrange=[%.{dm_decimals}f,%.{dm_decimals}f]%s"
+    each = F.transform("dets", lambda d: F.format_string(fmt, d["obs"], d["best_dm"], d["best_snr"], d["ndms"], d["dm_min"], d["dm_max"], F.when(d["peak_at_edge"], "  EDGE").otherwise("")))
+    return ranked.select("rank", F.posexplode(F.concat(F.array(score), each)).alias("part", "line")).withColumn("part", F.col("part") + 1)
+
+
+def report_header(rows: DataFrame, ranked: DataFrame, n_files: int, options: dict) -> list[str]:
+    """The lines above the report: inputs, measures, tolerances, and the observations of the signals shown."""
+    grid = rows.agg(F.count_distinct("dm").alias("n"), F.min("dm").alias("lo"), F.max("dm").alias("hi")).first()
+    shown = [r[0] for r in ranked.select(F.explode("dets.obs").alias("obs")).distinct().orderBy("obs").collect()]  # observations of the report's signals
+    d = options["dm_decimals"]
+    return [
+        "# candidate sift",
+        "# %d input files, %d observations, %d DMs (%.*f - %.*f)" % (n_files, len(shown), grid["n"], d, grid["lo"] or 0.0, d, grid["hi"] or 0.0),
+        "# within_tol=%.1e  cross_tol=%.1e  min_snr=%.1f  min_dms=%d  min_obs=%d" % tuple(options[k] for k in ("within_tol", "cross_tol", "min_snr", "min_dms", "min_obs")),
+        "# observations: " + ", ".join(shown),
+        "#",
+        REPORT_HEADER,
+    ]

@@ -125,16 +125,18 @@ def _(spark, sf):
     return sigs(spark, sf).select("n_obs", "all_full_span", rd(F.col("freq_frac_spread") * 1e6, "spread_ppm"), *(rd(c) for c in SIG_COLS))
 
 
-_RATIOS = ", ".join(f"({i}, {n}, {d})" for i, (n, d) in enumerate(sift.HARMONIC_RATIOS))
-HTOL = 1e-3
+HTOL, TOPK = 1e-3, 500
+#: The ratios that are compared, in the order of the search.
+RATIOS = [*((n, 1) for n in range(2, 17)), (1, 2), (3, 2), (5, 2), (2, 3), (4, 3), (5, 3), (3, 4), (5, 4)]
+_RATIOS = ", ".join(f"({i}, {n}, {d})" for i, (n, d) in enumerate(RATIOS))
 MARKED = f"""{SIGS},
 hr AS (SELECT *, row_number() OVER (ORDER BY sum_snr * n_obs DESC, freq) AS rk FROM sig),
 ratio(i, nu, de) AS (VALUES {_RATIOS}),
-rel AS (SELECT a.rk AS rk, b.rk AS fk, min(i) AS i FROM hr a JOIN hr b ON b.rk < a.rk JOIN ratio ON abs(a.freq - b.freq * (nu / de::DOUBLE)) < {HTOL}::DOUBLE * b.freq * (nu / de::DOUBLE) WHERE a.rk <= {sift.HARMONIC_TOPK} GROUP BY a.rk, b.rk),
+rel AS (SELECT a.rk AS rk, b.rk AS fk, min(i) AS i FROM hr a JOIN hr b ON b.rk < a.rk JOIN ratio ON abs(a.freq - b.freq * (nu / de::DOUBLE)) < {HTOL}::DOUBLE * b.freq * (nu / de::DOUBLE) WHERE a.rk <= {TOPK} GROUP BY a.rk, b.rk),
 rels AS (SELECT rk, list(fk ORDER BY fk) AS fks FROM rel GROUP BY rk),
 walk(rk, funds, hit) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT UNION ALL
   SELECT h.rk, CASE WHEN list_min(list_intersect(coalesce(r.fks, []), w.funds)) IS NULL THEN list_append(w.funds, h.rk) ELSE w.funds END, list_min(list_intersect(coalesce(r.fks, []), w.funds))
-  FROM walk w JOIN hr h ON h.rk = w.rk + 1 LEFT JOIN rels r ON r.rk = h.rk WHERE h.rk <= {sift.HARMONIC_TOPK}),
+  FROM walk w JOIN hr h ON h.rk = w.rk + 1 LEFT JOIN rels r ON r.rk = h.rk WHERE h.rk <= {TOPK}),
 mk AS (SELECT h.*, f.freq AS harmonic_of, CASE WHEN t.nu IS NULL THEN NULL WHEN t.de = 1 THEN 'x' || t.nu ELSE t.nu || '/' || t.de END AS harm_str
   FROM hr h LEFT JOIN walk w ON w.rk = h.rk LEFT JOIN hr f ON f.rk = w.hit LEFT JOIN rel l ON l.rk = h.rk AND l.fk = w.hit LEFT JOIN ratio t ON t.i = l.i)"""
 
@@ -148,7 +150,7 @@ def _(spark, sf):
     return marked(spark, sf).select(rd("freq"), rd("harmonic_of"), "harm_str")
 
 
-COH = f"exp(-pow(freq_frac_spread / {sift.FREQ_COH_SCALE}::DOUBLE, 2))"
+COH = "exp(-pow(freq_frac_spread / 1e-4::DOUBLE, 2))"
 PARTS = {
     "persist": f"3.0::DOUBLE * n_obs * (0.2::DOUBLE + 0.8::DOUBLE * {COH})",
     "strength": f"3.0::DOUBLE * log2(greatest(sum_snr, 1)) * (0.3::DOUBLE + 0.7::DOUBLE * {COH})",
@@ -187,13 +189,13 @@ def _(spark, sf):
 @register(
     "sift_report",
     f"""{SCORED}, rp AS (SELECT *, row_number() OVER (ORDER BY score DESC, freq) AS rank FROM scored WHERE n_obs >= 2)
-SELECT rank::INTEGER AS rank, printf('%-7d %-9s %14.9f %12.4f %5d %5d %7s %8.1f %8.1f %8.2f %9.2f', rank, klass, freq, period_ms, n_obs, round_even(numharm_med, 0)::INTEGER,
-  CASE WHEN ducy_med IS NULL THEN '-' ELSE printf('%.2f', 100 * ducy_med) END, sum_snr, max_snr, dm_med, dm_mad_steps) AS line, flags FROM rp WHERE rank <= 60""",
+SELECT rank::INTEGER AS rank, printf('%-7d %-9s %14.9f %12.4f %5d %5d %7s %8.1f %8.1f %8.2f %9.2f %7.1e  %s', rank, klass, freq, period_ms, n_obs, round_even(numharm_med, 0)::INTEGER,
+  CASE WHEN ducy_med IS NULL THEN '-' ELSE printf('%.2f', 100 * ducy_med) END, sum_snr, max_snr, dm_med, dm_mad_steps, freq_frac_spread, flags) AS line, flags FROM rp WHERE rank <= 60""",
 )
 def _(spark, sf):
     ranked = sift.report(scored(spark, sf), min_obs=2)
     lines = sift.report_lines(ranked).join(ranked.select("rank", F.concat_ws(";", "flags").alias("flags")), "rank")
-    return lines.select("rank", F.substring("line", 1, 102).alias("line"), "flags")
+    return lines.select("rank", "line", "flags")
 
 
 # candidate lists of two event types as two programs' results

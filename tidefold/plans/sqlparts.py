@@ -12,23 +12,23 @@ PARAMS = SearchParams(nharms=8, m=16, decimations=(1,), blocksize=1024)
 LADDER = SearchParams(nharms=8, m=16, decimations=(1, 2, 3), blocksize=1024)
 
 EVENTS = f"""
-ev AS (SELECT floor((epoch(ts) - {START}) / {DT})::BIGINT AS b, sum(value) AS v FROM events
-  WHERE epoch(ts) >= {START} AND epoch(ts) < {START + N * DT} GROUP BY 1)"""
+ev AS (SELECT event_type AS obs, floor((epoch(ts) - {START}) / {DT})::BIGINT AS b, sum(value) AS v FROM events
+  WHERE epoch(ts) >= {START} AND epoch(ts) < {START + N * DT} GROUP BY 1, 2)"""
 
 SPEC0 = (
     EVENTS
     + f""",
-raw AS (SELECT k.range AS bin, sum(v * cos(2 * pi() * ((k.range * b) % {N}) / {N})) AS re, -sum(v * sin(2 * pi() * ((k.range * b) % {N}) / {N})) AS im
-  FROM ev, range({NH}) k GROUP BY 1),
-nyq AS (SELECT sum(CASE WHEN b % 2 = 0 THEN v ELSE -v END) AS x FROM ev),
-spec0 AS (SELECT bin, re, CASE WHEN bin = 0 THEN x ELSE im END AS im FROM raw, nyq)"""
+raw AS (SELECT obs, k.range AS bin, sum(v * cos(2 * pi() * ((k.range * b) % {N}) / {N})) AS re, -sum(v * sin(2 * pi() * ((k.range * b) % {N}) / {N})) AS im
+  FROM ev, range({NH}) k GROUP BY 1, 2),
+nyq AS (SELECT obs, sum(CASE WHEN b % 2 = 0 THEN v ELSE -v END) AS x FROM ev GROUP BY obs),
+spec0 AS (SELECT obs, bin, re, CASE WHEN bin = 0 THEN x ELSE im END AS im FROM raw JOIN nyq USING (obs))"""
 )
 
 SPEC = (
     SPEC0
     + """,
-rms AS (SELECT sqrt(avg(re * re + im * im)) AS s FROM spec0 WHERE bin > 0),
-spec AS (SELECT bin, re / s AS re, im / s AS im FROM spec0, rms)"""
+rms AS (SELECT obs, sqrt(avg(re * re + im * im)) AS s FROM spec0 WHERE bin > 0 GROUP BY obs),
+spec AS (SELECT obs, bin, re / s AS re, im / s AS im FROM spec0 JOIN rms USING (obs))"""
 )
 
 
@@ -38,14 +38,14 @@ tr AS (SELECT range AS t, range // {params.blocksize} AS block, {r_lo}::DOUBLE +
 
 
 def amplitudes(points: str, m: int, keys: str, out: str = "amp") -> str:
-    """CTEs from ``points(keys, rh)`` to ``out(keys, re, im)`` by the factored kernel."""
+    """CTEs from ``points(keys, rh)`` to ``out(keys, re, im)`` by the factored kernel; ``obs`` is one of the keys."""
     return f"""
 p_{out} AS (SELECT {keys}, rh, floor(rh + 1e-15)::BIGINT AS fl, rh - floor(rh + 1e-15) AS dr FROM {points}),
 j_{out} AS (SELECT {keys}, fl, dr, fl + o.range - {m // 2 - 1} AS bin FROM p_{out}, range({m}) o),
-k_{out} AS (SELECT {keys}, dr,
+k_{out} AS (SELECT {', '.join('j.' + k.strip() for k in keys.split(','))}, dr,
     sum(CASE WHEN dr = 0 THEN CASE WHEN s.bin = fl THEN re ELSE 0 END ELSE re / (dr - (s.bin - fl)) END) AS sr,
     sum(CASE WHEN dr = 0 THEN CASE WHEN s.bin = fl THEN im ELSE 0 END ELSE im / (dr - (s.bin - fl)) END) AS si
-  FROM j_{out} j JOIN spec s ON s.bin = j.bin GROUP BY {keys}, dr),
+  FROM (SELECT *, j.bin AS jbin FROM j_{out} j) j JOIN spec s ON s.obs = j.obs AND s.bin = jbin GROUP BY {', '.join('j.' + k.strip() for k in keys.split(','))}, dr),
 {out} AS (SELECT {keys},
     CASE WHEN dr = 0 THEN sr ELSE sin(pi() * dr) / pi() * (cos(pi() * dr) * sr + sin(pi() * dr) * si) END AS re,
     CASE WHEN dr = 0 THEN si ELSE sin(pi() * dr) / pi() * (cos(pi() * dr) * si - sin(pi() * dr) * sr) END AS im FROM k_{out})"""
@@ -53,11 +53,11 @@ k_{out} AS (SELECT {keys}, dr,
 
 def trial_amps(params: SearchParams = PARAMS) -> str:
     return f"""
-th AS (SELECT t, block, h.range AS h, r * h.range AS rh FROM tr, range(1, {params.nharms + 1}) h),
-{amplitudes("th", params.m, "t, block, h")}"""
+th AS (SELECT obs, t, block, h.range AS h, r * h.range AS rh FROM tr, range(1, {params.nharms + 1}) h, (SELECT DISTINCT obs FROM spec)),
+{amplitudes("th", params.m, "obs, t, block, h")}"""
 
 
-def profile(k: int, params: SearchParams = PARAMS, keys: str = "t, block", source: str = "amp", out: str | None = None) -> str:
+def profile(k: int, params: SearchParams = PARAMS, keys: str = "obs, t, block", source: str = "amp", out: str | None = None) -> str:
     """``prof{k}(keys, i, v)``: the fold of every k-th harmonic."""
     hk = params.nharms // k
     n = 2 * hk
@@ -68,15 +68,17 @@ def profile(k: int, params: SearchParams = PARAMS, keys: str = "t, block", sourc
   FROM {source}, range({n}) i WHERE h % {k} = 0 AND h <= {k * hk} GROUP BY {keys}, i.range)"""
 
 
-def sigma(prof: str, nbins: int, out: str, cap: int = SIGMA_SAMPLES, block: str = "block", trial: str = "t") -> str:
+def sigma(prof: str, nbins: int, out: str, cap: int = SIGMA_SAMPLES, block: str = "obs, block", trial: str = "t") -> str:
     """``out(block, sg)`` from ``prof(block, trial, i, v)`` with the whole-profile sampling rule."""
+    on = " AND ".join(f"p.{k.strip()} = s.{k.strip()}" for k in block.split(","))
+    own = ", ".join(f"s.{k.strip()}" for k in block.split(","))
     return f"""
-n_{out} AS (SELECT {block} AS block, {trial} AS t, row_number() OVER (PARTITION BY {block} ORDER BY {trial}) - 1 AS j, count(*) OVER (PARTITION BY {block}) AS n
+n_{out} AS (SELECT {block}, {trial} AS t, row_number() OVER (PARTITION BY {block} ORDER BY {trial}) - 1 AS j, count(*) OVER (PARTITION BY {block}) AS n
   FROM (SELECT DISTINCT {block}, {trial} FROM {prof})),
 c_{out} AS (SELECT *, least(n, greatest(1, {cap} // {nbins})) AS nc FROM n_{out}),
-s_{out} AS (SELECT block, t FROM c_{out} WHERE n * {nbins} <= {cap}
+s_{out} AS (SELECT {block}, t FROM c_{out} WHERE n * {nbins} <= {cap}
   OR (((j * nc + n - 1) // n) < nc AND (((j * nc + n - 1) // n) * n) // nc = j)),
-{out} AS (SELECT s.block, 1.4826 * median(abs(p.v)) AS sg FROM s_{out} s JOIN {prof} p ON p.{block} = s.block AND p.{trial} = s.t GROUP BY s.block)"""
+{out} AS (SELECT {own}, 1.4826 * median(abs(p.v)) AS sg FROM s_{out} s JOIN {prof} p ON {on} AND p.{trial} = s.t GROUP BY {own})"""
 
 
 def score(prof: str, nbins: int, widths: list[int], out: str, keys: str, baseline: bool = True) -> str:
@@ -95,15 +97,15 @@ m_{out} AS (SELECT {picks}, w.w, max(b.c - a.c) / sqrt(w.w) AS s
 
 
 def metric(k: int, params: SearchParams = PARAMS) -> str:
-    """``met{k}(t, block, k, r, nharm, metric)``."""
+    """``met{k}(obs, t, block, k, r, nharm, metric)``."""
     n = 2 * params.folded(k)
-    return f"""{profile(k, params)},{sigma(f"prof{k}", n, f"sg{k}")},{score(f"prof{k}", n, params.widths(k), f"sc{k}", "t, block")},
-met{k} AS (SELECT s.t, s.block, {k} AS k, {k} * tr.r AS r, {params.folded(k)} AS nharm, CASE WHEN sg > 0 THEN best / sg ELSE 0 END AS metric
-  FROM sc{k} s JOIN sg{k} g ON g.block = s.block JOIN tr ON tr.t = s.t WHERE {k} * tr.r < {NH})"""
+    return f"""{profile(k, params)},{sigma(f"prof{k}", n, f"sg{k}")},{score(f"prof{k}", n, params.widths(k), f"sc{k}", "obs, t, block")},
+met{k} AS (SELECT s.obs, s.t, s.block, {k} AS k, {k} * tr.r AS r, {params.folded(k)} AS nharm, CASE WHEN sg > 0 THEN best / sg ELSE 0 END AS metric
+  FROM sc{k} s JOIN sg{k} g ON g.obs = s.obs AND g.block = s.block JOIN tr ON tr.t = s.t WHERE {k} * tr.r < {NH})"""
 
 
 def all_metrics(params: SearchParams) -> str:
-    """All CTEs up to ``met(t, block, k, r, nharm, metric)``."""
+    """All CTEs up to ``met(obs, t, block, k, r, nharm, metric)``."""
     parts = ",".join(metric(k, params) for k in params.decimations)
     union = " UNION ALL ".join(f"SELECT * FROM met{k}" for k in params.decimations)
     return f"WITH {SPEC},{trials(params=params)},{trial_amps(params)},{parts},\nmet AS ({union})"

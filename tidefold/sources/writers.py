@@ -22,13 +22,40 @@ def output_path(inputs: list[str], index: int, out: str | None, outdir: str | No
     return os.path.join(outdir if outdir else os.path.dirname(inputs[index]), stem + ".cohout")
 
 
-BLOCK_HEADER = "#  k  block      n            flo            fhi      vmin   vmedian     vmean      vstd      vmax"
+# The files' layout.
+BLOCK_HEADER = "#block     k   Hk nbins  ngoodbins       f_lo(Hz)       f_hi(Hz)        n       min    median      mean       std       max"
+BLOCK_LINE = "%-8d %3d %4d %5d %10.3f %14.8f %14.8f %8d %9.3f %9.3f %9.3f %9.3f %9.3f"
+FAP_HEADER = "#k     Hk nbins  win      f_lo(Hz)      f_hi(Hz)    ntrials     mean      std   median | fap1e-1 fap1e-2 fap1e-3 fap1e-4 fap1e-5"
+FAP_LINE = "%-4d %4d %5d %4d %13.7f %13.7f %10d %8.3f %8.3f %8.3f |"
+HIST_HEADER = "#k     Hk  win      f_lo(Hz)      f_hi(Hz)          bin          count"
+HIST_LINE = "%-4d %4d %4d %13.7f %13.7f %12.5f %14d"
+FILE_FAPS = (0.1, 0.01, 1e-3, 1e-4, 1e-5)
 
 
-def block_table(stats: DataFrame) -> DataFrame:
-    """``(obs, k, block, line)`` of the block statistics."""
-    line = F.format_string("%4d %6d %6d %14.6f %14.6f %9.4f %9.4f %9.4f %9.4f %9.4f", "k", "block", "n", "flo", "fhi", "vmin", "vmedian", "vmean", "vstd", "vmax")
-    return stats.select("obs", "k", "block", line.alias("line"))
+def block_table(stats: DataFrame, nharms: int, good: DataFrame) -> DataFrame:
+    """``(obs, k, block, line)`` of the block statistics; ``good(obs, block, ngoodbins)`` as from ``good_harmonics``."""
+    folded = F.floor(F.lit(nharms) / F.col("k")).cast("int")
+    line = F.format_string(BLOCK_LINE, "block", "k", folded, 2 * folded, "ngoodbins", "flo", "fhi", "n", "vmin", "vmedian", "vmean", "vstd", "vmax")
+    return stats.join(good, ["obs", "block"]).select("obs", "k", "block", line.alias("line"))
+
+
+def fap_table(summary: DataFrame, nharms: int, t_span: float) -> DataFrame:
+    """``(obs, k, win, line)`` of the false-alarm thresholds of each fold and window; ``summary`` by obs, k, win with ``FILE_FAPS``."""
+    folded = F.floor(F.lit(nharms) / F.col("k")).cast("int")
+    head = F.format_string(FAP_LINE, "k", folded, 2 * folded, "win", F.col("rmin") / F.lit(t_span), F.col("rmax") / F.lit(t_span), "ntrials", "vmean", "vstd", "vmedian")
+    values = F.concat(*[F.format_string(" %7.3f", f"fap{i + 1}") for i in range(len(FILE_FAPS))])
+    over = F.when(F.col("overflow") > min(FILE_FAPS), F.format_string("  # overflow %.1e", "overflow")).otherwise("")
+    return summary.select("obs", "k", "win", F.concat(head, values, over).alias("line"))
+
+
+def histogram_table(hist: DataFrame, nharms: int, t_span: float, lo: float = 0.0, hi: float = 64.0, nb: int = 3200) -> DataFrame:
+    """``(obs, k, win, bin, line)`` of all bins between the populated ends; ``hist`` by obs, k, win with rmin and rmax of the window."""
+    folded = F.floor(F.lit(nharms) / F.col("k")).cast("int")
+    edges = hist.groupBy("obs", "k", "win").agg(F.min("rmin").alias("rmin"), F.max("rmax").alias("rmax"))
+    width = (hi - lo) / nb
+    dump = histogram_dump(hist, ["obs", "k", "win"], lo, hi, nb).join(edges, ["obs", "k", "win"]).withColumn("bin", F.round((F.col("x") - lo) / width - 0.5).cast("bigint"))
+    line = F.format_string(HIST_LINE, "k", folded, "win", F.col("rmin") / F.lit(t_span), F.col("rmax") / F.lit(t_span), F.lit(lo) + F.col("bin") * width, "n")
+    return dump.select("obs", "k", "win", "bin", line.alias("line"))
 
 
 def histogram_dump(hist: DataFrame, keys: list[str], lo: float = 0.0, hi: float = 64.0, nb: int = 3200) -> DataFrame:
@@ -40,6 +67,7 @@ def histogram_dump(hist: DataFrame, keys: list[str], lo: float = 0.0, hi: float
 
 
 def drift(summary: DataFrame) -> DataFrame:
-    """Per fold the range of each false-alarm threshold over the windows."""
+    """Per observation and fold the range of each false-alarm threshold over the windows."""
     faps = [c for c in summary.columns if c.startswith("fap")]
-    return summary.groupBy("k").agg(*[f(c).alias(f"{c}_{n}") for c in faps for n, f in (("min", F.min), ("max", F.max))])
+    keys = [c for c in ("obs", "k") if c in summary.columns]
+    return summary.groupBy(*keys).agg(*[f(c).alias(f"{c}_{n}") for c in faps for n, f in (("min", F.min), ("max", F.max))])
