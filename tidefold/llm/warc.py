@@ -177,12 +177,13 @@ def read_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 def revisit_decisions(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """``(row_id, refers_to)`` of the records that repeat a payload; the largest row id of it is the response.
 
-    Digests and ids only; a digest of very many copies is reduced before the shuffle.
+    Digests and ids only; a digest of very many copies is reduced before the shuffle, and the
+    repeated digests are a table of their own, so that the rows of one can be split in the join.
     """
     last = records.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("row_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     return (
         records.where(F.col("payload_bytes") >= min_bytes)
-        .join(last.where("n > 1").drop("n"), "payload_digest")
+        .join(stored(last.where("n > 1").drop("n"), "last"), "payload_digest")
         .where(F.col("row_id") < F.col("refers_to"))
         .groupBy("row_id", "payload_digest")
         .agg(F.max("refers_to").alias("refers_to"))
