@@ -162,3 +162,12 @@ def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(5, 5), (None, 3), (1000, 1001)], "a long, b long")
     got = dict(map(tuple, connected_components(df).collect()))
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
+
+
+def test_a_passage_of_very_many_texts_links_only_similar_ones(spark):
+    rnd = random.Random(8)
+    passage = " ".join(f"common{i}" for i in range(70))
+    rows = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(150)) + " " + passage) for i in range(400)]
+    near = [(1000 + i, t.replace(t.split()[40], "changed", 1)) for i, t in rows[:60]]
+    got = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows + near, "doc_id long, text string").repartition(6), similar=True).collect()}
+    assert got == {i for i, _ in rows}

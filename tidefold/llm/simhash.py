@@ -148,7 +148,8 @@ def links(distinct: DataFrame) -> DataFrame:
         "fp",
         F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_masks())])).alias("k"),
     ).select("fp", "k.c", "k.key")
-    counts = keys.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a table of its own, so that the rows of a key with very many can be split in the join
+    counts = stored(keys.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     shared = stored(keys.join(counts, ["c", "key"]), "blocks")
     few = shared.where(F.col("n") <= CROWDED)
     pairs = (
@@ -183,17 +184,20 @@ def similar_links(prints: DataFrame) -> DataFrame:
     """
     pieces = prints.select("fp", F.explode("parts").alias("part")).distinct()
     pieces = stored(pieces, "pieces")
-    counts = pieces.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # counts, majorities and centres are tables of their own, so that the rows of a very frequent piece can be split in the joins
+    counts = stored(pieces.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     shared = stored(pieces.join(counts, "part"), "shared")
     few, many = shared.where(F.col("n") <= FEW), shared.where(F.col("n") > FEW)
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= SCREEN_BITS
     pairs = few.select("part", F.col("fp").alias("a")).join(few.select("part", F.col("fp").alias("b")), "part").where((F.col("a") < F.col("b")) & close)
     ones = [F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))).alias(f"s{i}") for i in range(64)]
     middle = reduce(Column.bitwiseOR, [F.when(2 * F.col(f"s{i}") > F.col("size"), F.lit(_signed(1 << i))).otherwise(F.lit(0)) for i in range(64)])
-    majority = many.groupBy("part").agg(F.count(F.lit(1)).alias("size"), *ones).select("part", middle.alias("middle"))
+    majority = stored(many.groupBy("part").agg(F.count(F.lit(1)).alias("size"), *ones).select("part", middle.alias("middle")), "majority")
     chosen = [F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))] + [F.xxhash64("fp", "part", F.lit(i)) for i in range(CENTRES)]
     firsts = [F.min(F.struct(c.alias("h"), "fp"))["fp"] for c in chosen]
-    centres = many.join(majority, "part").groupBy("part").agg(F.array_distinct(F.array(*firsts)).alias("centres"))
+    # the join's rows go out before they are aggregated by the same key: an aggregation on top of a join keeps its keys together
+    ranked = stored(many.join(majority, "part").select("part", "fp", "middle"), "ranked")
+    centres = stored(ranked.groupBy("part").agg(F.array_distinct(F.array(*firsts)).alias("centres")), "centres")
     stars = (
         many.join(centres, "part")
         .select("fp", F.explode("centres").alias("c"))
