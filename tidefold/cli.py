@@ -84,7 +84,7 @@ def metric_tables(spark: SparkSession, paths: list[str], params: SearchParams, l
         hi = hifreq * t_span
         pages = fft.read_fft(spark, of).withColumnRenamed("path", "obs")
         acc = settled(stats.with_window(block_accumulators(pages, params, lo, hi, n // 2, pages=pages), params, t_span, lo, hi, windows), "accumulators")
-        hist = stats.merged_histogram(acc, ["obs", "k", "win"]).join(acc.groupBy("obs", "k", "win").agg(F.min("rmin").alias("rmin"), F.max("rmax").alias("rmax")), ["obs", "k", "win"])
+        hist = stats.merged_histogram(acc, ["obs", "k", "win"], ranged=True)
         made = {
             "metricstats": writers.block_table(stats.block_stats(acc, t_span), params.nharms, stats.good_harmonics_of(acc, params.nharms, n // 2)),
             "metricfap": writers.fap_table(stats.merged_summary(acc, ["obs", "k", "win"], writers.FILE_FAPS), params.nharms, t_span),

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.params import SearchParams, boxcar_widths, trial_count
+from tidefold.operators import bank
 from tidefold.shared import settled
 
 #: Pairs of an observation that one task settles.
@@ -69,12 +69,18 @@ def harmonic_of(cands: DataFrame, bases: DataFrame, t_span: float, tol_bins: flo
     return near.join(pred.alias("p"), cond, "left_semi").drop("cell")
 
 
-def work_table(spark: SparkSession, params: SearchParams, r_lo: float, r_hi: float) -> DataFrame:
-    """``(k, nbins, nwidths, profiles, bins, bin_widths)`` per fold depth."""
-    n = trial_count(r_lo, r_hi, params.lodr)
-    rows = []
-    for k in params.decimations:
-        nbins = 2 * params.folded(k)
-        w = len(boxcar_widths(nbins, params.boxcar_fsp, params.boxcar_maxfrac))
-        rows.append((k, nbins, w, n, n * nbins, n * nbins * w))
-    return spark.createDataFrame(rows, "k int, nbins int, nwidths int, profiles bigint, bins bigint, bin_widths bigint")
+def work_of(searches: DataFrame, kmax: int, fsp: float = 1.5, maxfrac: float = 0.3) -> DataFrame:
+    """``(obs, k, nbins, nwidths, profiles, bins, bin_widths)``: the work of each search ``(obs, r_lo, r_hi, nharms, hidr)`` by fold.
+
+    Trials come from each row's own grid, folds and banks from its number of
+    harmonics; rows with a null or an empty range, or fewer than two harmonics, do no work.
+    """
+    step = F.col("hidr") / F.col("nharms")
+    trials = F.floor((F.col("r_hi") - F.col("r_lo")) / F.when(step > 0, step)) + 1
+    each = searches.withColumn("profiles", trials).where("profiles > 0").withColumn("nharms", F.col("nharms").cast("bigint"))
+    rungs = bank.decimation_rungs(searches.select("nharms"), kmax)
+    widths = bank.width_banks(rungs, fsp, maxfrac).groupBy("nbins").agg(F.count(F.lit(1)).alias("nwidths"))
+    stages = rungs.join(widths, "nbins")
+    return each.join(stages, "nharms").select(
+        "obs", "k", "nbins", "nwidths", "profiles", (F.col("profiles") * F.col("nbins")).alias("bins"), (F.col("profiles") * F.col("nbins") * F.col("nwidths")).alias("bin_widths")
+    )

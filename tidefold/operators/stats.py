@@ -37,10 +37,15 @@ def good_harmonics_of(acc: DataFrame, nharms: int, n_half: int) -> DataFrame:
     return acc.where("k = 1").select("obs", "block", F.least(F.lit(float(n_half)) / ((F.col("rmin") + F.col("rmax")) / 2), F.lit(float(nharms))).alias("ngoodbins"))
 
 
-def merged_histogram(acc: DataFrame, keys: list[str]) -> DataFrame:
-    """``histogram`` from accumulators: ``(keys, bin, n)``."""
-    each = acc.select(*keys, F.explode(F.arrays_zip("bins", "counts")).alias("_b"))
-    return each.groupBy(*keys, F.col("_b.bins").cast("bigint").alias("bin")).agg(F.sum("_b.counts").alias("n"))
+def merged_histogram(acc: DataFrame, keys: list[str], ranged: bool = False) -> DataFrame:
+    """``histogram`` from accumulators: ``(keys, bin, n)``; with ``ranged`` also ``rmin`` and ``rmax`` of the trials of all ``keys``."""
+    each = acc.select(*keys, "rmin", "rmax", F.explode(F.arrays_zip("bins", "counts")).alias("_b"))
+    more = [F.min("rmin").alias("rmin"), F.max("rmax").alias("rmax")] if ranged else []
+    out = each.groupBy(*keys, F.col("_b.bins").cast("bigint").alias("bin")).agg(F.sum("_b.counts").alias("n"), *more)
+    if not ranged:
+        return out
+    whole = Window.partitionBy(*keys)
+    return out.withColumns({"rmin": F.min("rmin").over(whole), "rmax": F.max("rmax").over(whole)})
 
 
 def merged_summary(acc: DataFrame, keys: list[str], faps: tuple[float, ...] = FAPS, lo: float = HIST_LO, hi: float = HIST_HI, nb: int = HIST_BINS) -> DataFrame:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidefold.operators import compare, sift
-from tidefold.params import boxcar_widths, trial_count
 from tidefold.plans.registry import register
-from tidefold.plans.signal import rd, table
+from tidefold.plans.signal import bank_sql, rd, table
 from tidefold.plans.sqlparts import r6
 from tidefold.sources import text
 
@@ -243,28 +242,19 @@ def _(spark, sf):
     return compare.harmonic_of(b, a, T_SPAN, TOL_BINS).select("obs", "id", rd("freq"))
 
 
-def _work_sql() -> str:
-    bank = ", ".join(f"({h}, {len(boxcar_widths(2 * h))})" for h in HARMS)
-    return f"""WITH {ROWS}, bank(h, nw) AS (VALUES {bank})
-SELECT numharm, count(*) AS candidates, sum(2 * numharm)::BIGINT AS bins, sum(2 * numharm * nw)::BIGINT AS bin_widths, max(greatest(0, floor((100 - freq) / (0.5::DOUBLE / numharm)) + 1))::BIGINT AS max_trials
-FROM rows JOIN bank ON h = numharm GROUP BY numharm"""
+WORK = f"""WITH RECURSIVE se AS (SELECT user_id AS obs, 1.0::DOUBLE AS r_lo, count(*)::DOUBLE AS r_hi, 2 + user_id % 90 AS nharms, 0.5::DOUBLE AS hidr FROM events GROUP BY user_id),
+rg AS (SELECT DISTINCT nharms, k.range AS k, 2 * (nharms // k.range) AS nbins FROM se, range(1, 7) k WHERE nharms // k.range >= 2), {bank_sql('rg')},
+nw AS (SELECT nbins, count(*) AS nwidths FROM b GROUP BY nbins),
+tr AS (SELECT obs, nharms, (floor((r_hi - r_lo) / (hidr / nharms)) + 1)::BIGINT AS profiles FROM se)
+SELECT tr.obs, rg.k, rg.nbins, nwidths, profiles, profiles * rg.nbins AS bins, profiles * rg.nbins * nwidths AS bin_widths FROM tr JOIN rg ON rg.nharms = tr.nharms JOIN nw ON nw.nbins = rg.nbins WHERE profiles > 0"""
 
 
-@register("work_accounting", _work_sql())
+@register("work_accounting", WORK)
 def _(spark, sf):
-    bank = spark.createDataFrame([(h, len(boxcar_widths(2 * h))) for h in HARMS], "numharm bigint, nw int")
-    trials = F.greatest(F.lit(0), F.floor((100 - F.col("freq")) / (F.lit(0.5) / F.col("numharm"))) + 1)
-    return (
-        cand_rows(spark, sf)
-        .join(F.broadcast(bank), "numharm")
-        .groupBy("numharm")
-        .agg(
-            F.count(F.lit(1)).alias("candidates"),
-            F.sum(2 * F.col("numharm")).alias("bins"),
-            F.sum(2 * F.col("numharm") * F.col("nw")).alias("bin_widths"),
-            F.max(trials).alias("max_trials"),
-        )
-    )
+    """Profiles, bins and bins times widths of a search for every user, by fold."""
+    per = table(spark, sf, "events").groupBy(F.col("user_id").alias("obs")).agg(F.count(F.lit(1)).cast("double").alias("r_hi"))
+    searches = per.select("obs", F.lit(1.0).alias("r_lo"), "r_hi", (2 + F.pmod("obs", F.lit(90))).alias("nharms"), F.lit(0.5).alias("hidr"))
+    return compare.work_of(searches, 6)
 
 
 NAME = "event_type || CASE WHEN event_id % 11 = 0 THEN '_noDM' ELSE '_DM' END || (10 + 0.5::DOUBLE * (user_id % 8)) || '.cohout'"
@@ -312,6 +302,3 @@ def _(spark, sf):
     line = F.concat(F.lit("x '"), "event_type", F.lit("' runtime: "), F.col("event_id").cast("string"), F.lit(".5 ms; 'scan' runtime: 2.25 ms"))
     out = text.stage_times(table(spark, sf, "events").select(line.alias("value")))
     return out.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("ms").alias("ms"))
-
-
-__all__ = ["trial_count"]

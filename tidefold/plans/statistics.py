@@ -125,6 +125,51 @@ def _(spark, sf):
     return out.select("obs", "k", *(rd(c) for c in ("fap1_min", "fap1_max", "fap2_min", "fap2_max")))
 
 
+GOOD = f"SELECT obs, block, least({NH} / avg(r), {LADDER.nharms}) AS ngoodbins FROM met WHERE k = 1 GROUP BY obs, block"
+
+
+@register("good_harmonics", f"{MET} SELECT obs, block, {r6('ngoodbins')} AS ngoodbins FROM ({GOOD})")
+def _(spark, sf):
+    return stats.good_harmonics_of(accumulators(spark, sf), LADDER.nharms, NH).select("obs", "block", rd("ngoodbins"))
+
+
+@register(
+    "block_table_lines",
+    f"""{MET}, st AS (SELECT obs, k, block, count(*) AS n, min(r) / {T} AS flo, max(r) / {T} AS fhi, min(metric) AS vmin, median(metric) AS vmedian, avg(metric) AS vmean, coalesce(stddev_samp(metric), 0) AS vstd, max(metric) AS vmax FROM met GROUP BY obs, k, block)
+SELECT st.obs, k, st.block, printf('%-8d %3d %4d %5d %10.3f %14.8f %14.8f %8d %9.3f %9.3f %9.3f %9.3f %9.3f', st.block, k, {LADDER.nharms} // k, 2 * ({LADDER.nharms} // k), ngoodbins, flo, fhi, n, vmin, vmedian, vmean, vstd, vmax) AS line
+FROM st JOIN ({GOOD}) g ON g.obs = st.obs AND g.block = st.block""",
+)
+def _(spark, sf):
+    acc = accumulators(spark, sf)
+    return writers.block_table(stats.block_stats(acc, T), LADDER.nharms, stats.good_harmonics_of(acc, LADDER.nharms, NH))
+
+
+FILE_QS = {"vmedian": 0.5} | {f"fap{i + 1}": 1 - p for i, p in enumerate((0.1, 0.01, 1e-3, 1e-4, 1e-5))}
+
+
+@register(
+    "fap_table_lines",
+    f"""{MET},{WIN},{hist_sql("wmet", "obs, k, win", "h")},{quant_sql("h", "obs, k, win", FILE_QS, "qq")},
+mo AS (SELECT obs, k, win, count(*) AS n, min(r) / {T} AS flo, max(r) / {T} AS fhi, avg(metric) AS vmean, coalesce(stddev_samp(metric), 0) AS vstd FROM wmet GROUP BY obs, k, win)
+SELECT mo.obs, mo.k, mo.win, printf('%-4d %4d %5d %4d %13.7f %13.7f %10d %8.3f %8.3f %8.3f | %7.3f %7.3f %7.3f %7.3f %7.3f', mo.k, {LADDER.nharms} // mo.k, 2 * ({LADDER.nharms} // mo.k), mo.win, flo, fhi, n, vmean, vstd, vmedian, fap1, fap2, fap3, fap4, fap5) AS line
+FROM mo JOIN qq ON qq.obs = mo.obs AND qq.k = mo.k AND qq.win = mo.win""",
+)
+def _(spark, sf):
+    return writers.fap_table(stats.merged_summary(windowed_accumulators(spark, sf), ["obs", "k", "win"], writers.FILE_FAPS), LADDER.nharms, T)
+
+
+@register(
+    "histogram_table_lines",
+    f"""{MET},{WIN},{hist_sql("wmet", "obs, k, win", "h")}, i AS (SELECT * FROM h WHERE bin BETWEEN 0 AND {NB - 1}), e AS (SELECT obs, k, win, min(bin) AS lo, max(bin) AS hi FROM i GROUP BY obs, k, win),
+w AS (SELECT obs, k, win, min(r) / {T} AS flo, max(r) / {T} AS fhi FROM wmet GROUP BY obs, k, win),
+s AS (SELECT obs, k, win, unnest(range(lo, hi + 1)) AS bin FROM e)
+SELECT s.obs, s.k, s.win, s.bin, printf('%-4d %4d %4d %13.7f %13.7f %12.5f %14d', s.k, {LADDER.nharms} // s.k, s.win, flo, fhi, {LO} + s.bin * {(HI - LO) / NB}::DOUBLE, coalesce(n, 0)) AS line
+FROM s JOIN w ON w.obs = s.obs AND w.k = s.k AND w.win = s.win LEFT JOIN i ON i.obs = s.obs AND i.k = s.k AND i.win = s.win AND i.bin = s.bin""",
+)
+def _(spark, sf):
+    return writers.histogram_table(stats.merged_histogram(windowed_accumulators(spark, sf), ["obs", "k", "win"], ranged=True), LADDER.nharms, T)
+
+
 def norm_sql(min_trials: int) -> str:
     levels = {"loc": 0.5, "up": 0.8413}
     return f"""{MET},{WIN},{hist_sql("wmet", "obs, k, win", "hw")},{hist_sql("met", "obs, k", "hk")},{quant_sql("hw", "obs, k, win", levels, "qw")},{quant_sql("hk", "obs, k", levels, "qk")},
