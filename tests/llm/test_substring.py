@@ -126,6 +126,31 @@ def test_word_cuts_follow_their_definition():
         assert ss.word_cuts(h).tolist() == sorted(want)
 
 
+def test_every_border_is_a_minimum_of_the_gear_hash():
+    rnd = random.Random(12)
+    text = " ".join([*words(rnd, 300), "x" * 40 + "".join(rnd.choices("abcdef", k=900)), *words(rnd, 300)])
+    raw, edges, _ = ss.chunk_edges(text)
+    h = [sum(int(ss._GEAR[raw[i - j]]) << j for j in range(min(i + 1, ss.HASH_BYTES))) % 2**32 for i in range(len(raw))]
+    firsts = [i for i in range(len(raw)) if raw[i] != 32 and (i == 0 or raw[i - 1] == 32)]
+    inner, w, n_word, n_long = edges[1:-1].tolist(), ss.WORD_WINDOW, 0, 0
+    for e in inner:
+        if e in firsts:
+            k = firsts.index(e)
+            spans = [range(i, i + w) for i in range(max(0, k - w + 1), min(k, len(firsts) - w) + 1)]
+            n_word += any(all(h[firsts[j]] >= h[e] for j in span) for span in spans)
+        else:
+            n_long += all(h[e - 1] <= h[j] for j in range(e - 1, min(len(raw), e - 1 + ss.RADIUS)))
+    assert n_word > 80 and n_long > 10 and n_word + n_long == len(inner)
+
+
+def test_ids_may_be_strings(spark):
+    rnd = random.Random(13)
+    passage = " ".join(words(rnd, 60))
+    rows = [(f"doc-{i}", " ".join([*words(rnd, 50), passage if i % 2 else "", *words(rnd, 50)])) for i in range(6)]
+    got = ss.repeated_passages(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id, r.first_doc_id) for r in got) == [(f"doc-{i}", "doc-1") for i in (1, 3, 5)]
+
+
 def test_null_ids_and_several_texts_of_one_id(spark):
     rnd = random.Random(7)
     a, b = (" ".join(words(rnd, 70)) for _ in range(2))

@@ -1,4 +1,4 @@
-"""Substring dedup by content-defined chunks: window minima of word hashes, a gear rolling hash, digests, and runs of shared seeds of chunks."""
+"""Substring dedup by content-defined chunks: borders by a gear rolling hash, digests, and runs of shared seeds of chunks."""
 
 from __future__ import annotations
 
@@ -12,20 +12,21 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.common import fresh, stored, table
 
-#: Chunks begin at the words with the smallest hash of any so many neighbouring words, so
-#: none has more words than this.
-WORD_WINDOW = 10
-#: Chunks of more bytes (texts with few blanks) are cut further by the gear hash.
+#: Bytes the rolling hash depends on (a power of two).
+HASH_BYTES = 8
+#: A chunk begins at a word whose rolling hash, at its first byte, is the smallest of any so
+#: many neighbouring words, so none has more words than this.
+WORD_WINDOW = 9
+#: Chunks of more bytes (texts with few blanks) are cut further, at any byte.
 LONG_CHUNK = 160
-#: A gear cut is the first smallest hash within so many bytes on either side: these
+#: Such a cut is the first smallest hash within so many bytes on either side: these
 #: chunks are longer than this, and 2 * RADIUS + 1 bytes on average.
 RADIUS = 20
-#: Bytes the rolling hash depends on (a power of two).
-HASH_BYTES = 16
 #: A seed is so many words or more in neighbouring chunks, and a seed that two documents have
-#: is a repeated passage.  The first and the last window that lie in a passage of n words have
-#: their minima in every copy, so at least n - 2 * WORD_WINDOW words of it are in chunks that all
-#: copies have: 31 of 51, enough for a seed.
+#: is a repeated passage.  In a passage the hashes of all words but the first HASH_BYTES / 2 are
+#: those of every copy, as a word and its blank have two bytes or more.  The first and the last
+#: window of such words have their minima in every copy, so of n words at least
+#: n + 1 - HASH_BYTES / 2 - 2 * WORD_WINDOW are in chunks that all copies have: 30 of 51, a seed.
 MIN_WORDS = 30
 
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([i]), 7) for i in range(256)], np.uint32)
@@ -72,17 +73,6 @@ def cuts(data: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return np.append(ends[ends < n], n)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """32-bit hashes of the words that begin at ``starts``, of their bytes only."""
-    if not len(starts):
-        return np.array([], np.uint32)
-    inside = np.arange(len(data)) - np.repeat(np.append(0, starts), np.diff(np.concatenate(([0], starts, [len(data)]))))
-    mixed = np.where(_SPACE[data], np.uint32(0), _GEAR[data] * (2 * inside + 1).astype(np.uint32))
-    h = np.add.reduceat(mixed, starts, dtype=np.uint32)
-    h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
-    return h ^ h >> np.uint32(13)
-
-
 def word_cuts(h: np.ndarray, window: int = WORD_WINDOW) -> np.ndarray:
     """Indices of the last smallest hash of each ``window`` neighbouring ones."""
     if len(h) < window:
@@ -101,7 +91,7 @@ def chunk_edges(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
     first = ~space
     first[1:] &= space[:-1]
     at = np.flatnonzero(first)
-    edges = np.unique(np.concatenate(([0], at[word_cuts(word_hashes(data, at))], [len(data)])))
+    edges = np.unique(np.concatenate(([0], at[word_cuts(gear_hashes(data)[at])], [len(data)])))
     long = np.flatnonzero(np.diff(edges) > LONG_CHUNK).tolist()
     edges = np.unique(np.concatenate([edges, *(edges[i] + cuts(data[edges[i] : edges[i + 1]]) for i in long)]))
     words = np.add.reduceat(first, edges[:-1], dtype=np.int64) if len(edges) > 1 else edges[:-1]
@@ -109,18 +99,18 @@ def chunk_edges(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def _digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[int]:
-    digest, view = xxhash.xxh3_64_intdigest, memoryview(raw)
+    digest, view = xxhash.xxh3_128_intdigest, memoryview(raw)
     return [digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
 
 
 def chunk_rows(text: str) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit digests, byte starts, byte ends and words of all chunks."""
+    """128-bit digests, byte starts, byte ends and words of all chunks."""
     raw, edges, words = chunk_edges(text)
     return _digests(raw, edges[:-1], edges[1:]), edges[:-1], edges[1:], words
 
 
 def seed_rows(text: str, min_words: int = MIN_WORDS) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit digests, byte starts and ends, chunks, and words before the start and the end of all seeds.
+    """128-bit digests, byte starts and lengths, chunks, words before the start, and words of all seeds.
 
     The seed of a chunk is the chunk and those after it up to ``min_words`` words;
     the last chunks of a text have too few left and no seed.
@@ -130,7 +120,7 @@ def seed_rows(text: str, min_words: int = MIN_WORDS) -> tuple[list[int], np.ndar
     last = np.searchsorted(before, before[:-1] + min_words)
     at = np.flatnonzero(last < len(before))[: len(words)]
     last = last[at]
-    return _digests(raw, edges[at], edges[last]), edges[at], edges[last], last - at, before[at], before[last]
+    return _digests(raw, edges[at], edges[last]), edges[at], edges[last] - edges[at], last - at, before[at], before[last] - before[at]
 
 
 def text_key(text_col: str = "text"):
@@ -139,27 +129,29 @@ def text_key(text_col: str = "text"):
 
 
 def seeds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(id, idx, digest, start, end, chunks, w0, w1)``, one row per seed of the whole texts.
+    """``(id, idx, digest, more, start, bytes, chunks, w0, words)``, one row per seed of the whole texts.
 
-    ``idx`` is the text's key, then the number of the chunk in 32 bits.
+    ``idx`` is the text's key, then the number of the chunk in 32 bits.  ``digest`` and ``more``
+    are 96 bits of the digest: among 10^12 seeds the chance of any false pair is below 10^-4.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "idx", "digest", "start", "end", "chunks", "w0", "w1"]
+        names = ["id", "idx", "digest", "more", "start", "bytes", "chunks", "w0", "words"]
         for batch in batches:
             keys = batch.column(2).to_numpy()
             for lo in range(0, batch.num_rows, 256):
                 parts = [seed_rows(t or "", min_words) for t in batch.column(1).slice(lo, 256).to_pylist()]
                 n = [len(p[0]) for p in parts]
                 which = np.repeat(np.arange(lo, lo + len(parts)), n)
-                digests = np.array([d for p in parts for d in p[0]], np.uint64).view(np.int64)
+                both = np.frombuffer(b"".join(d.to_bytes(16, "little") for p in parts for d in p[0]), np.int64).reshape(-1, 2)
+                digests = [pa.array(both[:, 0].copy()), pa.array(both[:, 1].astype(np.int32))]
                 join = lambda i: pa.array(np.concatenate([p[i] for p in parts]).astype(np.int32))
                 idx = (keys[which] << 32) + np.concatenate([np.arange(k) for k in n])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(idx), pa.array(digests), *map(join, range(1, 6))], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(idx), *digests, *map(join, range(1, 6))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("tk")).mapInArrow(
-        run, f"id {kind}, idx bigint, digest bigint, start int, end int, chunks int, w0 int, w1 int"
+        run, f"id {kind}, idx bigint, digest bigint, more int, start int, bytes int, chunks int, w0 int, words int"
     )
 
 
@@ -185,13 +177,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = seeds(docs, id_col, text_col, min_words)
     nameless = F.when(F.col("id").isNull(), F.shiftright("idx", 32))
     shared = stored(
-        rows.groupBy("digest")
+        rows.groupBy("digest", "more")
         .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(nameless).alias("n_low"), F.max(nameless).alias("n_high"))
         .where("low < high OR n_low < n_high OR (low IS NOT NULL AND n_low IS NOT NULL)")
-        .select("digest", "low"),
+        .select("digest", "more", "low"),
         "shared",
     )
-    hits = rows.join(shared, "digest").dropDuplicates(["id", "idx"]).withColumn("tk", F.shiftright("idx", 32))
+    hits = rows.join(shared, ["digest", "more"]).dropDuplicates(["id", "idx"]).withColumn("tk", F.shiftright("idx", 32))
     by_doc = Window.partitionBy("id", "tk").orderBy("idx")
     same = F.col("low").eqNullSafe(F.lag("low").over(by_doc)) & (F.col("idx") == F.lag("idx").over(by_doc) + 1)
     parts = (
@@ -201,10 +193,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .groupBy("id", "tk", "run", "part")
         .agg(
             F.min("start").alias("start"),
-            F.max("end").alias("end"),
+            F.max(F.col("start") + F.col("bytes")).alias("end"),
             F.count(F.lit(1)).alias("n"),
             (F.max(F.col("idx") + F.col("chunks")) - F.min("idx")).alias("n_chunks"),
-            (F.max("w1") - F.min("w0")).cast("bigint").alias("n_words"),
+            (F.max(F.col("w0") + F.col("words")) - F.min("w0")).cast("bigint").alias("n_words"),
             F.min("low").alias("first_doc_id"),
         )
     )
