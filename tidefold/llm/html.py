@@ -460,12 +460,12 @@ def train_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
     """Fit on at most ``TRAIN_PAGES`` pages of up to ``TRAIN_CHARS`` characters, the first in a hash order of their ids.
 
     Without such pages the ``LONG_PAGES`` shortest are taken.  Null ids and empty
-    pages are left out; a table without others gives an untrained network, which has nothing to label.
+    pages are left out, of several pages of one id the last in order is taken; a table without others gives an untrained network, which has nothing to label.
     """
     given = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("h")).where(F.col("_id").isNotNull() & (F.length("h") > 0))
     usable = given.where(F.length("h") <= TRAIN_CHARS)
     ids = usable.select("_id").distinct().orderBy(hash_unit(F.col("_id"), "html"), "_id").limit(TRAIN_PAGES)
-    rows = usable.join(F.broadcast(ids), "_id").collect()
+    rows = usable.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.max("h").alias("h")).collect()  # one page an id
     if not rows:
         rows = given.orderBy(F.length("h"), "_id", "h").limit(LONG_PAGES).collect()
     once = {r["_id"]: r["h"] for r in sorted(rows, key=lambda r: (r["_id"], r["h"]))}

@@ -252,7 +252,11 @@ def score_quality(docs: DataFrame, model: Trees | None, id_col: str = "doc_id",
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, unchanged; the verdict is taken batch by batch without a join."""
+    """The rows of ``docs`` that are kept, unchanged; the verdict is taken batch by batch without a join.
+
+    Null and empty texts go (the base rule); equal texts go or stay together, null
+    ids are no reason to go; other columns may have any names; no rows give no rows.
+    """
     model = train_quality(docs, labels, id_col, text_col)
     at = docs.columns.index(text_col)
 

@@ -228,11 +228,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = (
         texts.join(F.broadcast(chosen), "_id")  # at most 4,000 ids
         .withColumn("c", F.pmod(hash_unit(F.col("_id"), "part"), F.lit(PARTS)).cast("int"))
-        .select("_id", "text", "y", "c")
+        .groupBy("_id", "y", "c")
+        .agg(F.max("text").alias("text"))  # one text an id, however often it is repeated
         .collect()
     )
-    once = {r["_id"]: (r["text"], r["y"], r["c"]) for r in sorted(rows, key=lambda r: (r["_id"], r["text"]))}
-    return fit(list(once.values()))
+    return fit([(r["text"], r["y"], r["c"]) for r in sorted(rows, key=lambda r: r["_id"])])
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
