@@ -1,9 +1,20 @@
 import random
 
 import numpy as np
+import pytest
 
+from tests.llm.hand_pages import MARK, PAGES
 from tidefold.llm import html as h
 
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    """A network fitted on 300 pages, and the pages it has not seen."""
+    rows = spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").collect()
+    return h.fit_network(h.examples_of([r.html for r in rows[:300]])), [r.html for r in rows[300:]]
+
 
 def texts(page):
     return [b.text for b in h.blocks(page)]
@@ -50,17 +61,37 @@ def test_padding_and_batches_change_nothing(monkeypatch):
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(together, net.score(pages)))
 
 
-def test_held_out_pages(spark):
-    sf = "/root/testdata/sf0.1"
-    rows = spark.read.parquet(f"{sf}/pages.parquet").orderBy("page_id").collect()
-    net = h.fit_network(h.examples_of([r.html for r in rows[:300]]))
-    held = [r.html for r in rows[300:]]
+def test_held_out_pages(trained):
+    net, held = trained
     want = ["\n".join(b.text for b, l in zip(bs, h.weak_labels(bs) or []) if l) for bs in map(h.blocks, held)]
     assert np.mean([a == b for a, b in zip(h.extract(net, held), want)]) > 0.995
     rnd, pool = random.Random(8), [b.text for p in held[:100] for b in h.blocks(p) if len(b.text.split()) > 3]
-    made = [h.synthetic_page(pool, rnd) for _ in range(200)]
-    right = [(s >= 0.5) == np.array(l) for (p, l), s in zip(made, net.score([h.vectors(h.blocks(p)) for p, _ in made])) if len(s) == len(l)]
-    assert len(right) > 190 and np.concatenate(right).mean() > 0.97
+    for style in set(h.STYLES):
+        made = [h.synthetic_page(pool, rnd, style) for _ in range(200)]
+        scores = net.score([h.vectors(h.blocks(p)) for p, _ in made])
+        assert all(len(s) == len(l) for (_, l), s in zip(made, scores))
+        assert np.concatenate([(s >= 0.5) == np.array(l) for (_, l), s in zip(made, scores)]).mean() > 0.95, style
+
+
+def test_hand_labelled_pages(trained):
+    net, _ = trained
+    right = []
+    for page in PAGES:
+        want = [b.text.startswith(MARK) for b in h.blocks(page)]
+        scores = net.score([h.vectors(h.blocks(page.replace(MARK, "")))])[0]
+        assert len(scores) == len(want) and any(want) and not all(want)
+        right += list((scores >= 0.5) == want)
+    assert len(PAGES) == 20 and np.mean(right) >= 0.9
+    listing = h.extract(net, [PAGES[0].replace(MARK, "")])[0]
+    assert "with open(path) as f: for line in f: print(line)" in listing and "Docs 2024" not in listing
+
+
+def test_place_of_a_block():
+    a, b, c, d = h.blocks("<div><p>x<p>y</div><div>z<span>!</span></div>w")
+    assert a.inside[0] == b.inside[0] and a.inside != b.inside and len(c.inside) == 1 and c.inside != a.inside[:1] and d.inside == ()
+    x = h.vectors([a, b, c, d])[:, -h.NUMBERS :]
+    share = x[:, [9, 12, 15]]  # of the text, in the three innermost elements (the page itself, where there are fewer)
+    assert np.allclose(share, np.array([[5, 2, 1], [5, 2, 1], [5, 5, 2], [5, 5, 5]]) / 5)
 
 
 def test_query_and_edge_cases(spark):

@@ -23,12 +23,12 @@ TRAIN_CHARS = 20_000
 #: Pages to train on where all are longer than that.
 LONG_PAGES = 20
 TRAIN_BLOCKS = 80
-VARIANTS = 4
+VARIANTS = 7
 EPOCHS = 6
 HIDDEN = 24
-PATH_BINS = 96
+PATH_BINS = 192
 WORD_BINS = 32
-NUMBERS = 9
+NUMBERS = 23
 WIDTH = PATH_BINS + WORD_BINS + NUMBERS
 #: Blocks (with padding) that go through the network at once.
 BATCH_BLOCKS = 20_000
@@ -66,6 +66,9 @@ class _Bins(dict):
         return b
 
 
+#: 1 for the bytes of punctuation, 2 for digits.
+_BYTE_KINDS = np.zeros(256, np.uint8)
+_BYTE_KINDS[list(b".,;:!?")], _BYTE_KINDS[list(b"0123456789")] = 1, 2
 _path_bins, _word_bins = _Bins(PATH_BINS), _Bins(WORD_BINS)
 
 
@@ -74,6 +77,7 @@ class Block:
     text: str
     path: tuple[str, ...]
     link_chars: int
+    inside: tuple[int, ...] = ()  # numbers of the block-level elements around it, outermost first
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -85,23 +89,29 @@ def blocks(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
     parts: list[str] = []
-    links = 0
+    links = opened = 0
     path: tuple[str, ...] = ()
+    inside: tuple[int, ...] = ()
 
     def flush() -> None:
-        nonlocal links, path
+        nonlocal links, path, inside
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, path, links))
+                out.append(Block(text, path, links, inside))
             parts.clear()
         links = 0
-        path = ()
+        path = inside = ()
+
+    def place() -> None:
+        nonlocal path, inside
+        path = tuple(x for t, names, _ in stack for x in (t, *names))
+        inside = tuple(n for t, _, n in stack if t in _BLOCK and t not in ("html", "body"))
 
     def close_to(k: int) -> None:
-        if any(t in _BLOCK for t, _ in stack[k:]):
+        if any(t in _BLOCK for t, _, _ in stack[k:]):
             flush()
         del stack[k:]
 
@@ -110,9 +120,9 @@ def blocks(page: str | None) -> list[Block]:
         if m.start() > at:
             piece = page[at : m.start()]
             if not parts or not path:
-                path = tuple(x for t, names in stack for x in (t, *names))
+                place()
             parts.append(piece)
-            if any(t == "a" for t, _ in stack):
+            if any(t == "a" for t, _, _ in stack):
                 links += len(piece)
         at = m.end()
         tag = m["tag"] or m["tag2"]
@@ -153,17 +163,23 @@ def blocks(page: str | None) -> list[Block]:
             names = ()
             if "=" in attrs:
                 names = tuple("." + p for a, b, c in _NAMES.findall(attrs) for p in _NAME_PARTS.findall((a or b or c).lower()))
-            stack.append((tag, names))
+            opened += 1
+            stack.append((tag, names, opened))
     if at < len(page):
         if not path:
-            path = tuple(x for t, names in stack for x in (t, *names))
+            place()
         parts.append(page[at:])
     flush()
     return out
 
 
 def vectors(page: list[Block]) -> np.ndarray:
-    """Tag-path bins, hashed-word bins and a few numbers for each block of a page."""
+    """Tag-path bins, hashed-word bins and a few numbers for each block of a page.
+
+    The numbers tell about the block and about the three innermost elements around
+    it (share of the page's text, links, blocks), so a layout without telling names
+    still shows where the text is.
+    """
     n = len(page)
     x = np.zeros((n, WIDTH), np.float32)
     rows, bins, wrows, wbins = [], [], [], []
@@ -174,21 +190,36 @@ def vectors(page: list[Block]) -> np.ndarray:
         words = b.text.lower().split()
         wrows.append(len(words))
         wbins += map(_word_bins.__getitem__, words)
-        c = max(1, len(b.text))
-        x[i, -NUMBERS:] = (
-            np.log1p(c) / 6,
-            np.log1p(len(words)) / 5,
-            min(1.0, b.link_chars / c),
-            sum(map(b.text.count, ".,;:!?")) / c * 10,
-            (b.text[-1:] in ".!?") * 1.0,
-            sum(map(b.text.count, "0123456789")) / c * 4,
-            i / n,
-            (n - 1 - i) / n,
-            1.0 if len(words) >= 12 else 0.0,
-        )
+    words = np.array(wrows)
     x[:, :PATH_BINS] = np.minimum(np.bincount(np.array(rows) * PATH_BINS + np.array(bins), minlength=n * PATH_BINS).reshape(n, PATH_BINS), 2)
     counts = np.bincount(np.repeat(np.arange(n), wrows) * WORD_BINS + np.array(wbins), minlength=n * WORD_BINS).reshape(n, WORD_BINS)
-    x[:, PATH_BINS : PATH_BINS + WORD_BINS] = counts / np.maximum(1, np.array(wrows))[:, None] * 2
+    x[:, PATH_BINS : PATH_BINS + WORD_BINS] = counts / np.maximum(1, words)[:, None] * 2
+
+    coded = [b.text.encode("utf-8", "replace") for b in page]
+    starts = np.cumsum([0, *map(len, coded[:-1])])
+    kinds = _BYTE_KINDS[np.frombuffer(b"".join(coded), np.uint8)]
+    chars = np.array([len(b.text) for b in page])
+    linked = np.array([min(b.link_chars, len(b.text)) for b in page])
+    around = np.array([(0, 0, 0, *b.inside)[-3:] for b in page])  # 0 is the page itself
+    numbers = [np.log1p(chars) / 6, np.log1p(words) / 5, linked / chars]
+    marks, digits = (np.add.reduceat(kinds == k, starts, dtype=np.int64) / chars for k in (1, 2))
+    numbers += [marks * 10, [b.text[-1] in ".!?" for b in page], digits * 4]
+    numbers += [np.arange(n) / n, np.arange(n)[::-1] / n, words >= 12]
+    elements, at = np.unique(np.concatenate([around, np.zeros((n, 1), np.int64)], axis=1), return_inverse=True)
+    at = at.reshape(n, 4)
+    sums = np.zeros((3, len(elements)))
+    for k in range(4):
+        new = at[:, k] > 0 if k < 3 else at[:, k] == 0  # the page, element 0, counts each block once
+        for j, v in enumerate((chars, linked, np.ones(n))):
+            sums[j] += np.bincount(at[new, k], v[new], len(elements))
+    for k in range(3):
+        inner, inner_links, inner_blocks = sums[:, at[:, k]]
+        numbers += [inner / chars.sum(), inner_links / np.maximum(1, inner), np.log1p(inner_blocks) / 3]
+    for k in (0, 1):
+        same = around[1:, k] == around[:-1, k]
+        numbers += [np.concatenate([[False], same]), np.concatenate([same, [False]])]
+    numbers.append(np.array([len(b.inside) for b in page]) / 8)
+    x[:, -NUMBERS:] = np.stack(numbers, axis=1)
     return x
 
 
@@ -329,7 +360,7 @@ def weak_labels(page: list[Block]) -> list[int] | None:
     return [int(bool(_MAIN & set(b.path)) and not (_OTHER & set(b.path)) and not (_OTHER_NAMES & set(b.path))) for b in page]
 
 
-#: Containers that synthetic pages draw from: (open, close) pairs.
+#: Containers that synthetic pages draw from.
 _BODIES = (
     ["<article>", "<main>", "<main><article>", '<div class="content">', '<div class="post-body">', '<div class="entry-content">', '<div id="main">', '<section class="article">']
     + ['<div class="story">', '<div id="content">', '<article class="post">', '<div class="text">', '<main id="main" class="page">', '<td class="content">', '<div class="main">', '<div>', '<section>']
@@ -337,103 +368,171 @@ _BODIES = (
 _BEFORE = ["<header>", '<div class="header">', '<div id="header">', '<div class="notice">', '<div class="cookie-banner">', '<div class="alert notice" role="alert">', '<div class="ad">', '<div class="banner">', '<div class="breadcrumbs">', '<div class="promo">', "<aside>", '<section class="notice">', '<div class="topbar">']
 _AFTER = ["<footer>", '<div class="footer">', '<div id="footer">', "<aside>", '<aside class="sidebar">', '<div class="sidebar">', '<div class="related">', '<section class="comments">', '<div class="comments">', '<div id="comments">', '<div class="newsletter">', '<div class="ad">', '<div class="share">', '<div class="sponsored">', '<ol class="commentlist">', '<div class="widget">']
 _INSIDE = ["<aside>", '<div class="ad">', '<div class="advert">', '<div class="share">', '<div class="notice">', '<div class="related">', '<div class="promo">', '<section class="comments">', '<div class="comments">', '<nav class="toc">']
+#: How a page names its containers: as above, not at all, by words that say nothing, or in cells of a table.
+STYLES = ("named", "named", "plain", "foreign", "cells")
 
 
 def _closing(opened: str) -> str:
     return "".join(f"</{t}>" for t in reversed(re.findall(r"<([a-z]+)", opened)))
 
 
-def synthetic_page(texts: list[str], rnd: random.Random) -> tuple[str, list[int]]:
-    """A page in a random layout with texts from ``texts``, and the labels of its blocks."""
+def synthetic_page(texts: list[str], rnd: random.Random, style: str | None = None) -> tuple[str, list[int]]:
+    """A page in a random layout with texts from ``texts``, and the labels of its blocks.
+
+    Pages of style ``named`` draw their containers from the lists above.  In the
+    others nothing but place, length, links and repetition tells boilerplate apart,
+    so it is short there, or a thread of replies, and the article has several blocks.
+    """
+    style = style or rnd.choice(STYLES)
+    named = style == "named"
     labels: list[int] = []
     parts = ["<html><head><title>t</title></head><body>"]
-    pick = lambda: entities.escape(rnd.choice(texts), quote=False)
+    made_up = ["".join(rnd.choice("bcdfghklmnprstvwz") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 4))) for _ in range(12)]
 
-    def short() -> str:
-        return " ".join(pick().split()[: rnd.randint(1, 4)]) or "more"
+    def pick() -> str:
+        return entities.escape(rnd.choice(texts), quote=False)
 
-    def links(tag: str) -> None:
-        parts.append(tag + "<ul>")
-        for _ in range(rnd.randint(2, 8)):
-            parts.append(f'<li><a href="/x">{short()}</a></li>')
-            labels.append(0)
-        parts.append("</ul>" + _closing(tag))
+    def cut(lo: int, hi: int) -> str:
+        return " ".join(pick().split()[: rnd.randint(lo, hi)]) or "more"
+
+    def short() -> str:
+        return cut(1, 4)
+
+    def aside() -> str:
+        return pick() if named else cut(2, 18)
+
+    def dress(tag: str, cell: bool = False) -> str:
+        if named or tag.startswith(("<form", "<ul", "<ol", "<p", "<li")) and style == "plain" and "class" not in tag:
+            return tag
+        if style == "cells" and cell:
+            return "<td>"
+        kind = rnd.choice(["div", "div", "div", "section"]) if style == "plain" or rnd.random() < 0.8 else rnd.choice(["article", "main", "aside", "footer", "header"])
+        kind = re.match(r"<([a-z]+)", tag)[1] if tag.startswith(("<ol", "<li", "<form", "<p")) else kind if kind in ("div", "section") or kind in tag else "div"
+        return f"<{kind}>" if style != "foreign" else f'<{kind} {rnd.choice(["class", "id"])}="{rnd.choice(made_up)}">'
+
+    def put(html: str, *new: int) -> None:
+        parts.append(html)
+        labels.extend(new)
+
+    def links(tag: str, cell: bool = False) -> None:
+        tag = dress(tag, cell)
+        if named or rnd.random() < 0.5:
+            n = rnd.randint(2, 8)
+            put(tag + "<ul>" + "".join(f'<li><a href="/x">{short()}</a></li>' for _ in range(n)) + "</ul>" + _closing(tag), *[0] * n)
+        elif rnd.random() < 0.5:
+            n = rnd.randint(2, 6)
+            put(tag + "".join(f'<div><a href="/x">{short()}</a></div>' for _ in range(n)) + _closing(tag), *[0] * n)
+        else:
+            put(tag + rnd.choice([" | ", " ", " &middot; "]).join(f'<a href="/x">{short()}</a>' for _ in range(rnd.randint(2, 8))) + _closing(tag), 0)
 
     def form() -> None:
-        parts.append(rnd.choice(["<form>", '<form class="search">', '<form action="/s">']))
-        parts.append(f"<label>{short()}</label><input type='text'><button>{short()}</button>")
-        labels.extend([0, 0])
+        put(rnd.choice(["<form>", '<form class="search">', '<form action="/s">']))
+        put(f"<label>{short()}</label><input type='text'><button>{short()}</button>", 0, 0)
+        if rnd.random() < 0.4:
+            put(f"<p>{pick()}</p>", 0)
+        put("</form>")
+
+    def replies(tag: str, cell: bool) -> None:
+        inner = "li" if tag.startswith("<ol") else "div"
+        tag = dress(tag, cell)
+        inner = "div" if inner == "li" and "<ol" not in tag else inner
+        put(tag)
+        if not named or rnd.random() < 0.6:
+            put(f"<h3>{short()}</h3>", 0)
+        author = "<p class=\"author\">" if named else rnd.choice(["<p>", "<div>", "<h4>", "<p><b>"])
+        for _ in range(rnd.randint(1, 5) if named else rnd.randint(2, 6)):
+            one = f'<{inner} class="{rnd.choice(["comment", "reply", "comment-body"])}">'
+            one = one if named else f"<{inner}>" if style != "foreign" else f'<{inner} class="{made_up[0]}">'
+            put(one)
+            if not named or rnd.random() < 0.5:
+                put(f"{author}{short()}{_closing(author)}", 0)
+            put(f"<p>{pick()}</p></{inner}>", 0)
         if rnd.random() < 0.4:
-            parts.append(f"<p>{pick()}</p>")
-            labels.append(0)
-        parts.append("</form>")
+            form()
+        put(_closing(tag))
 
-    def extra(tag: str) -> None:
+    def extra(tag: str, cell: bool = False) -> None:
         if "comment" in tag:
-            inner = "li" if tag.startswith("<ol") else "div"
-            parts.append(tag)
-            if rnd.random() < 0.6:
-                parts.append(f"<h3>{short()}</h3>")
-                labels.append(0)
-            for _ in range(rnd.randint(1, 5)):
-                parts.append(f'<{inner} class="{rnd.choice(["comment", "reply", "comment-body"])}">')
-                if rnd.random() < 0.5:
-                    parts.append(f'<p class="author">{short()}</p>')
-                    labels.append(0)
-                parts.append(f"<p>{pick()}</p></{inner}>")
-                labels.append(0)
-            if rnd.random() < 0.4:
-                form()
-            parts.append(_closing(tag))
+            replies(tag, cell)
         elif rnd.random() < 0.3:
-            links(tag)
-        elif rnd.random() < 0.5:
-            parts.append(f"{tag}{pick()}{_closing(tag)}")
-            labels.append(0)
+            links(tag, cell)
         else:
-            parts.append(tag)
+            tag = dress(tag, cell)
+            if rnd.random() < 0.5:
+                put(f"{tag}{aside()}{_closing(tag)}", 0)
+                return
+            put(tag)
+            if rnd.random() < 0.3:
+                put(f"<h3>{short()}</h3>", 0)
             for _ in range(rnd.randint(1, 3)):
-                parts.append(f"<p>{pick()}</p>")
-                labels.append(0)
-            parts.append(_closing(tag))
+                put(f"<p>{aside()}</p>", 0)
+            put(_closing(tag))
+
+    def paragraph() -> None:
+        kind = rnd.random()
+        if kind < 0.08:
+            put(f"<h2>{short()}</h2>", 1)
+        elif kind < 0.14:
+            put(f"<blockquote>{pick()}</blockquote>", 1)
+        elif kind < 0.2:
+            n = rnd.randint(1, 4)
+            put("<ul>" + "".join(f"<li>{pick() if rnd.random() < 0.5 else short()}</li>" for _ in range(n)) + "</ul>", *[1] * n)
+        elif kind < 0.26:
+            put(f"<pre>{rnd.choice(['', '<code>'])}{cut(3, 30)}\n  {short()} = {rnd.randint(0, 99)};</pre>", 1)
+        elif kind < 0.3:
+            rows, cols = rnd.randint(2, 4), rnd.randint(2, 3)
+            put("<table>" + "".join("<tr>" + "".join(f"<td>{short() if rnd.random() < 0.6 else rnd.randint(1, 999)}</td>" for _ in range(cols)) + "</tr>" for _ in range(rows)) + "</table>", *[1] * rows * cols)
+        elif kind < 0.33:
+            put(f"<dl><dt>{short()}</dt><dd>{pick()}</dd><dt>{short()}</dt><dd>{cut(3, 15)}</dd></dl>", 1, 1, 1, 1)
+        elif kind < 0.36:
+            put(f"<figure><img src='/i.png'><figcaption>{cut(3, 15)}</figcaption></figure>", 1)
+        elif kind < 0.46:
+            put(f"<p><b>{pick()}<br>", 1)
+        elif kind < 0.54:
+            put(f'<p>{pick()} <a href="/y">{short()}</a> {cut(2, 20)}</p>', 1)
+        elif kind < 0.6 and not named:
+            put(f"<p>{cut(2, 12)}</p>", 1)
+        else:
+            put(f"{inner}{pick()}{_closing(inner)}", 1)
 
+    wrap = "" if named and rnd.random() < 0.6 else rnd.choice(["", "<div>", "<div><div>"])
+    put("<table><tr>" if style == "cells" else wrap)
     for _ in range(rnd.randint(0, 3)):
         kind = rnd.random()
         if kind < 0.5:
-            links(rnd.choice(["<nav>", '<div class="menu">', '<div id="nav">', '<nav class="main-nav">', "<header><nav>"]))
-        elif kind < 0.6:
+            links(rnd.choice(["<nav>", '<div class="menu">', '<div id="nav">', '<nav class="main-nav">', "<header><nav>"]), True)
+        elif kind < 0.6 and style != "cells":
             form()
         else:
-            extra(rnd.choice(_BEFORE))
+            extra(rnd.choice(_BEFORE), True)
+    if style == "cells" and rnd.random() < 0.5:
+        put("</tr><tr>")
+    title = f"<h1>{' '.join(pick().split()[:9]) or 'title'}</h1>"
+    if not named and style != "cells" and rnd.random() < 0.15:
+        put(title, 1)
+        title = ""
     body = rnd.choice(_BODIES)
-    parts.append(body)
-    if rnd.random() < 0.8:
-        parts.append(f"<h1>{' '.join(pick().split()[:9]) or 'title'}</h1>")
-        labels.append(1)
-    for k in range(rnd.choice([1, 2, 3, 5, 9])):
-        kind = rnd.random()
-        if kind < 0.1 and k:
-            parts.append(f"<h2>{short()}</h2>")
-        elif kind < 0.18:
-            parts.append(f"<blockquote>{pick()}</blockquote>")
-        elif kind < 0.26:
-            n = rnd.randint(1, 4)
-            parts.append("<ul>" + "".join(f"<li>{pick() if rnd.random() < 0.5 else short()}</li>" for _ in range(n)) + "</ul>")
-            labels.extend([1] * (n - 1))
-        elif kind < 0.4:
-            parts.append(f"<p><b>{pick()}<br>")
+    body = body if rnd.random() < 0.3 and not named and style != "cells" and body.startswith(("<article>", "<main>")) else dress(body, True)
+    inner = "<p>" if named or rnd.random() < 0.75 else "<div>"
+    put(body)
+    if title and rnd.random() < 0.8:
+        put(title, 1)
+    for k in range(rnd.choice([1, 2, 3, 5, 9]) if named else rnd.randint(3, 10)):
+        if k == 0:
+            put(f"{inner}{pick()}{_closing(inner)}", 1)
         else:
-            parts.append(f"<p>{pick()}</p>")
-        labels.append(1)
-        if rnd.random() < 0.12:
+            paragraph()
+        if rnd.random() < (0.2 if named else 0.05):
             extra(rnd.choice(_INSIDE))
-    parts.append(_closing(body))
+    put(_closing(body))
+    if style == "cells" and rnd.random() < 0.5:
+        put("</tr><tr>")
     for _ in range(rnd.randint(0, 4)):
-        if rnd.random() < 0.12:
+        if rnd.random() < 0.12 and style != "cells":
             form()
         else:
-            extra(rnd.choice(_AFTER))
-    parts.append("</body></html>")
+            extra(rnd.choice(_AFTER), True)
+    put(("</tr></table>" if style == "cells" else _closing(wrap)) + "</body></html>")
     return "".join(parts), labels
 
 
