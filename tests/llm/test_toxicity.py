@@ -50,3 +50,43 @@ def test_edge_cases_and_folds(spark):
 def test_no_both_classes():
     assert tx.fit([("a b c", 1, 0)]).constant == 1.0
     assert tx.score_one(tx.fit([]), None, "x") == pytest.approx(0.0)
+
+
+def test_copies_do_not_teach(spark):
+    """One toxic text of another language, with 200 near copies, must not make that language toxic."""
+    rnd = random.Random(5)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(3, 7)))
+    text = lambda letters, n: [word(letters) for _ in range(n)]
+
+    def insulted(w):
+        for _ in range(5):
+            w[rnd.randrange(len(w))] = rnd.choice(["zorgling", "quixnaut", "vexomort"])
+        return " ".join(w)
+
+    rows = [(insulted(text("abcdefgh", 60)), 1, i % 3) for i in range(90)] + [(" ".join(text("abcdefgh", 60)), 0, i % 3) for i in range(300)]
+    rows += [(" ".join(text("mnoprstu", 60)), 0, i % 3) for i in range(20)]
+    copied = text("mnoprstu", 80) + insulted(text("mnoprstu", 20)).split()
+    for i in range(200):
+        w = copied[:]
+        w[rnd.randrange(len(w))] = "x"
+        rows.append((" ".join(w), 1, i % 3))
+    kept = tx.without_copies(rows)
+    assert len(kept) < len(rows) - 180 and sum(y for _, y, _ in kept) >= 91 and kept == tx.without_copies(kept)
+    assert [r for r in kept if r[1] == 0] == [r for r in rows if r[1] == 0]  # unlike texts all stay
+    model = tx.fit(rows, 0.1)
+    gains = tx._Gains(model)
+    clean = [tx.score_one(model, gains, " ".join(text("mnoprstu", 60))) for _ in range(100)]
+    assert sum(s >= tx.THRESHOLD for s in clean) <= 3
+    caught = [sum(tx.score_one(model, gains, insulted(text(letters, 60))) >= tx.THRESHOLD for _ in range(100)) for letters in ("abcdefgh", "mnoprstu")]
+    assert caught[0] >= 90 and caught[1] >= 65  # hardly any toxic text of the second language is left to learn from
+
+
+def test_copies_in_the_given_tables(spark):
+    """Tables in which groups have thousands of copies: clean documents of the copies' language stay clean."""
+    sf = "/root/testdata/check_s"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = tx.score_toxicity(known, tx.train_toxicity(docs, labels)).join(labels, "doc_id").where("held_out").toPandas()
+    recall, precision = got[got.toxic == 1].predicted.mean(), got[got.predicted == 1].toxic.mean()
+    print("toxicity, many copies", recall, precision)
+    assert recall > 0.85 and precision > 0.85

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ from tidefold.llm.common import fold_of, hash_unit, table
 MAX_TOXIC_DOCS = 1500
 MAX_ORDINARY_DOCS = 2500
 MAX_TRAIN_CHARS = 50_000
-WINDOW_WORDS = 16
+WINDOW_WORDS = 8
 LEVEL = 9
 TOXIC_BYTES = 8192
 ORDINARY_BYTES = 32768
@@ -32,6 +33,7 @@ GAIN = 2
 MAX_GAIN = 22
 THRESHOLD = 0.7
 _GRAM = 5
+_MULTIPLIERS = (2654435761, 2246822519, 3266489917, 668265263)
 #: Bytes of a segment of the trained dictionaries, about two words; bytes the trainer has to see.
 _SEGMENT = 24
 MIN_TRAIN_BYTES = 16_384
@@ -159,12 +161,34 @@ def dictionaries(rows: list[tuple[str, int]]) -> Model:
     return Model(_train(TOXIC_BYTES, samples), _train(ORDINARY_BYTES, plain))
 
 
-def fit(rows: list[tuple[str, int, int]]) -> Model:
-    """Fit on ``(text, toxic, part)`` rows.
+def without_copies(rows: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The first row of each group of exact or near copies in the sample, for either label.
+
+    A text with many copies would pass its ordinary words off as telling ones, and
+    copies in several parts would make the calibration look better than it is.  A
+    copy agrees with an earlier row in two of four minima of its hashed three-word shingles.
+    """
+    seen: set[tuple] = set()
+    out = []
+    for text, y, part in rows:
+        words = text.lower().encode().split()
+        hashes = np.array([zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint64)
+        low = [int((hashes * np.uint64(m) & np.uint64(0xFFFFFFFF)).min()) for m in _MULTIPLIERS]
+        keys = {(y, i, j, low[i], low[j]) for i in range(4) for j in range(i)}
+        if not keys & seen:
+            out.append((text, y, part))
+        seen |= keys
+    return out
+
+
+def fit(rows: list[tuple[str, int, int]], toxic_share: float | None = None) -> Model:
+    """Fit on ``(text, toxic, part)`` rows, copies left out.
 
     The window ratios, the weights and the threshold come from documents scored
     with dictionaries of the other parts; the final dictionaries use all rows.
+    ``toxic_share`` is that of all labelled rows, for the threshold; without it, that of ``rows``.
     """
+    rows = without_copies(rows)
     if len({y for _, y, _ in rows}) < 2:
         return Model(b"", b"", constant=float(any(y for _, y, _ in rows)))
     gained, y = [], []
@@ -185,15 +209,17 @@ def fit(rows: list[tuple[str, int, int]]) -> Model:
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    w[0] += math.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(x @ w, y)
+    share = y.mean() if toxic_share is None else toxic_share
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    w[0] += math.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(x @ w, y, weight)
     return Model(model.toxic, model.ordinary, tuple(seen.tolist()), tuple(w.tolist()))
 
 
-def _best_cut(raw: np.ndarray, y: np.ndarray) -> float:
-    """The cut of the raw score with the best F1: the middle of the widest such gap."""
+def _best_cut(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The cut of the raw score with the best F1 of weighted rows: the middle of the widest such gap."""
     order = np.argsort(-raw, kind="stable")
-    s, hits = raw[order], np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(s) + 1) + y.sum())
+    s, hits = raw[order], np.cumsum((weight * y)[order])
+    f1 = 2 * hits / (np.cumsum(weight[order]) + (weight * y).sum())
     f1[:-1][s[:-1] == s[1:]] = -1
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     after = np.append(s[1:], s[-1] - 1)
@@ -232,7 +258,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         .agg(F.max("text").alias("text"))  # one text an id, however often it is repeated
         .collect()
     )
-    return fit([(r["text"], r["y"], r["c"]) for r in sorted(rows, key=lambda r: r["_id"])])
+    share = known.agg(F.avg("y")).first()[0]
+    return fit([(r["text"], r["y"], r["c"]) for r in sorted(rows, key=lambda r: r["_id"])], share)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
