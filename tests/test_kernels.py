@@ -1,6 +1,7 @@
 """Exact phases, accumulators, the gate, byte budgets, lists of frequencies, and relations for sequential choices."""
 
 import math
+import random
 from fractions import Fraction
 
 import numpy as np
@@ -273,3 +274,19 @@ def test_grids_of_rows(spark):
     out = interp.trial_grids(spark.createDataFrame(rows, "obs string, r_lo double, r_hi double, step double"), 4).collect()
     assert {o: sum(r.obs == o for r in out) for o in "abcde"} == {"a": trial_count(1.0, 3.0, 0.25), "b": 1, "c": 0, "d": 0, "e": 0}
     assert [(r.t, r.block, r.r) for r in sorted(out, key=lambda r: (r.obs, r.t))][:9] == [(t, t // 4, 1 + t / 4) for t in range(9)]
+
+
+def test_harmonic_of_broadcasts_no_predictions(spark, tmp_path):
+    """Bases whose table is small enough to be broadcast, but not with 63 ratios each; the rows are those of a plain scan."""
+    rnd = random.Random(11)
+    freq = lambda: rnd.choice([rnd.randrange(20, 90) / 4, rnd.uniform(5, 22)])
+    a, b = [(rnd.randrange(3), i, freq()) for i in range(25)], [(rnd.randrange(3), i, freq()) for i in range(120)]
+    a, b = a + a[:5] + [(None, 90, 5.0), (0, 91, None)], b + b[:9] + [(None, 90, 5.0), (1, 91, None)]
+    for name, rows in (("a", a), ("b", b)):
+        spark.createDataFrame(rows, "obs long, id long, freq double").write.parquet(str(tmp_path / name))
+    got = compare.harmonic_of(*(spark.read.parquet(str(tmp_path / x)) for x in "ba"), 1000.0, 2.0)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    ratios = [(n, m) for n in range(1, 9) for m in range(1, 9) if (n, m) != (1, 1)]
+    hit = lambda o, f: f is not None and any(o == p and g is not None and abs(f - g * n / m) * 1000.0 <= 2.0 for p, _, g in a for n, m in ratios)
+    want = [r for r in b if r[0] is not None and hit(r[0], r[2])]
+    assert got.columns == ["obs", "id", "freq"] and sorted(map(tuple, got.collect())) == sorted(want) and 10 < len(want) < len(b)

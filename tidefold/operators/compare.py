@@ -60,13 +60,19 @@ def cell_of(freq: str, t_span: float, tol_bins: float):
 
 
 def harmonic_of(cands: DataFrame, bases: DataFrame, t_span: float, tol_bins: float, numharm: int = 8) -> DataFrame:
-    """``cands`` that lie at a ratio n/m of some base (but n = m = 1): a semi join on cells of the predicted frequencies."""
+    """``cands`` that lie at a ratio n/m of some base (but n = m = 1): a semi join on cells of the predicted frequencies.
+
+    Frequencies that an observation has more than once are compared once.  The joins
+    are merged by hint: Spark's estimate doesn't count the rows that ``explode`` adds,
+    and would send all predictions to the driver for a broadcast.
+    """
     nm = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for n in range(1, numharm + 1) for m in range(1, numharm + 1) if n != 1 or m != 1]))
-    pred = bases.select("obs", F.col("freq").alias("fb"), nm.alias("nm")).withColumn("pred", F.col("fb") * F.col("nm.n") / F.col("nm.m"))
-    pred = pred.withColumn("cell", F.explode(F.array(*[cell_of("pred", t_span, tol_bins) + d for d in (-1, 0, 1)]))).select("obs", "pred", "cell")
-    near = cands.withColumn("cell", cell_of("freq", t_span, tol_bins)).alias("c")
+    pred = bases.select("obs", F.col("freq").alias("fb")).distinct().select("obs", "fb", nm.alias("nm")).select("obs", (F.col("fb") * F.col("nm.n") / F.col("nm.m")).alias("pred"))
+    pred = pred.withColumn("cell", cell_of("pred", t_span, tol_bins)).hint("merge")
+    near = cands.select("obs", "freq").distinct().withColumn("cell", F.explode(F.array(*[cell_of("freq", t_span, tol_bins) + d for d in (-1, 0, 1)])))
     cond = (F.col("c.obs") == F.col("p.obs")) & (F.col("c.cell") == F.col("p.cell")) & (F.abs(F.col("c.freq") - F.col("p.pred")) * F.lit(t_span) <= F.lit(tol_bins))
-    return near.join(pred.alias("p"), cond, "left_semi").drop("cell")
+    found = near.alias("c").join(pred.alias("p"), cond, "left_semi").select("obs", "freq").distinct()
+    return cands.join(found.hint("merge"), ["obs", "freq"], "left_semi").select(cands.columns)
 
 
 def work_of(searches: DataFrame, kmax: int, fsp: float = 1.5, maxfrac: float = 0.3) -> DataFrame:

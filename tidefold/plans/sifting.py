@@ -239,7 +239,7 @@ WHERE (n.range <> 1 OR m.range <> 1) AND abs(b.freq - a.freq * n.range / m.range
 )
 def _(spark, sf):
     a, b = two_lists(spark, sf)
-    return compare.harmonic_of(b, a, T_SPAN, TOL_BINS).select("obs", "id", rd("freq"))
+    return compare.harmonic_of(b, a, T_SPAN, TOL_BINS).select("obs", "id", rd("freq")).distinct()
 
 
 WORK = f"""WITH RECURSIVE se AS (SELECT user_id AS obs, 1.0::DOUBLE AS r_lo, count(*)::DOUBLE AS r_hi, 2 + user_id % 90 AS nharms, 0.5::DOUBLE AS hidr FROM events GROUP BY user_id),
