@@ -184,3 +184,16 @@ def test_recall_of_paraphrases(spark):
     recall = sum((i, i) in got for i in range(100)) / 100
     print("paraphrase recall", recall)
     assert recall >= 0.9 and len(got) <= 110
+
+
+def test_basis_is_fitted_on_the_whole_benchmark(spark):
+    """No sample: beside thousands of other documents, all items and their passages still lie in the basis whole."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8))) for _ in range(2000)]
+    prose = lambda n: " ".join(rnd.choices(words, k=n))
+    bench = [(i, prose(rnd.choice([9, 30, 110])) + ".") for i in range(40)]
+    docs = spark.createDataFrame([(i, prose(80)) for i in range(3000)], "doc_id long, text string").repartition(6)
+    (index,) = dc._indexes(docs, spark.createDataFrame(bench, "item_id long, text string"), text_col="text", item_col="item_id", item_text="text")
+    sizes = [min(1.0, len(p) / dc.PASSAGE_WORDS) for w in index.words for p in dc.indexed_passages(w)]
+    assert 40 < len(sizes) <= dc.RANK
+    assert np.allclose(index.floor, dc.CANDIDATE * np.sqrt(sizes), rtol=0.01)  # each has the length 1 within the basis

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidefold.llm.common import stored, table
+from tidefold.llm.common import table
 from tidefold.llm.words import piece_hashes
 
 #: Hashed TF-IDF features, and the rank and oversampling of the decomposition.
@@ -22,9 +22,6 @@ OVERSAMPLE = 8
 #: Documents are read as overlapping passages of two blocks of words.
 BLOCK_WORDS = 24
 PASSAGE_WORDS = 2 * BLOCK_WORDS
-#: The decomposition is fitted on the passages of the benchmark and of so many documents, about,
-#: drawn from all by a hash (of equal texts one counts).
-SAMPLE_DOCS = 2000
 #: A passage is a candidate if it shares a word n-gram with an item (see ``gram_length``), or if
 #: its cosine with the latent vector of an item or of an item's passage is at least this share of
 #: the cosine expected of a passage that contains it.
@@ -41,7 +38,7 @@ ITEM_BLOCK = 20_000
 STEP_BYTES = 1 << 20
 _STEP_ENTRIES = 1 << 13
 _STEP_BLOCKS = 1 << 9
-#: Tasks that sum the decomposition for each block of items, each up to one matrix of all features.
+#: Tasks that sum the decomposition for each block of items, each up to one matrix of the items' features.
 SVD_TASKS = 4
 
 #: All but digits, lower-case letters and non-ASCII bytes becomes a blank.
@@ -162,8 +159,8 @@ def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
     return np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.01)
 
 
-def _summed(parts: DataFrame, width: int) -> np.ndarray:
-    """Sum of ``(f, v binary float32[width])`` rows by ``f``, as a dense matrix of ``FEATURES`` rows.
+def _summed(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of ``(f, v binary float32[width])`` rows by ``f``: the features, rising, and a row for each.
 
     The result is bounded by the features, however many passages there are.
     """
@@ -176,11 +173,9 @@ def _summed(parts: DataFrame, width: int) -> np.ndarray:
                 acc[f] = acc[f] + x if f in acc else x
         yield pa.RecordBatch.from_arrays([pa.array(list(acc), pa.int32()), pa.array([v.tobytes() for v in acc.values()], pa.binary())], ["f", "v"])
 
-    rows = parts.repartition("f").mapInArrow(run, "f int, v binary").toArrow()
-    out = np.zeros((FEATURES, width))
-    for f, v in zip(rows["f"].to_pylist(), rows["v"].to_pylist()):
-        out[f] = np.frombuffer(v, np.float32)
-    return out
+    rows = parts.repartition("f").mapInArrow(run, "f int, v binary").toArrow().sort_by("f")
+    out = np.frombuffer(b"".join(rows["v"].to_pylist()), np.float32)
+    return rows["f"].to_numpy(), out.reshape(len(rows), -1 if len(rows) else 0).astype(np.float64)
 
 
 def weighted(w: Words, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,17 +192,22 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: i
     """Orthonormal ``FEATURES x r`` right singular vectors of the TF-IDF matrix of ``passages(text, weight float)``.
 
     Randomised SVD: A'A applied to a random matrix (twice, for one power
-    iteration) is summed over the rows in the tasks; only matrices of the size
-    ``FEATURES x (rank + OVERSAMPLE)`` reach the driver.
+    iteration) is summed over the rows in the tasks; only matrices of
+    ``rank + OVERSAMPLE`` columns and a row for each feature that the passages
+    have reach the driver.
     """
-    width = rank + OVERSAMPLE
     spark = passages.sparkSession
 
-    def gram_times(q: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(q.astype(np.float32))
+    def gram_times(at: np.ndarray | None = None, q: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        shared = spark.sparkContext.broadcast((at, q.astype(np.float32))) if q is not None else None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q32, acc, used = shared.value, np.zeros((FEATURES, width), np.float32), np.zeros(FEATURES, bool)
+            if shared is None:
+                q32 = np.random.default_rng(seed).standard_normal((FEATURES, rank + OVERSAMPLE), np.float32)
+            else:
+                q32 = np.zeros((FEATURES, shared.value[1].shape[1]), np.float32)
+                q32[shared.value[0]] = shared.value[1]
+            acc, used = np.zeros_like(q32), np.zeros(FEATURES, bool)
             for b in batches:
                 weight = b.column(1).to_numpy()
                 for first, w in read_batches(b.column(0)):
@@ -216,7 +216,7 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: i
                     used[f] = True
                     for lo in range(0, len(f), _STEP_ENTRIES):  # entries, in whole or in part of a text's
                         t, at, v = text[lo : lo + _STEP_ENTRIES], f[lo : lo + _STEP_ENTRIES], x[lo : lo + _STEP_ENTRIES, None].astype(np.float32)
-                        y = np.zeros((t[-1] - t[0] + 1, width), np.float32)
+                        y = np.zeros((t[-1] - t[0] + 1, q32.shape[1]), np.float32)
                         np.add.at(y, t - t[0], q32[at] * v)
                         # a text cut by the step: the rest of its row
                         for a, z in ((np.searchsorted(text, t[0]), lo), (lo + len(t), np.searchsorted(text, t[-1], side="right"))):
@@ -226,41 +226,42 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: i
             at = np.flatnonzero(used)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([acc[i].tobytes() for i in at], pa.binary())], ["f", "v"])
 
-        return _summed(passages.select("text", "weight").mapInArrow(run, "f int, v binary"), width)
+        return _summed(passages.select("text", "weight").mapInArrow(run, "f int, v binary"))
 
-    start = np.random.default_rng(seed).standard_normal((FEATURES, width))
-    z = gram_times(start)
+    at, z = gram_times()
+    if not len(at):
+        return np.zeros((FEATURES, 0), np.float32)
     q, _ = np.linalg.qr(z)
-    z = gram_times(q)
+    _, z = gram_times(at, q)
     # q'A'A q is the small Gram matrix; its leading eigenvectors turn q into singular vectors
     vals, vecs = np.linalg.eigh(q.T @ z)
     top = np.argsort(vals)[::-1][:rank]
     top = top[vals[top] > 1e-6 * max(float(vals.max(initial=0.0)), 1e-300)]
-    return (q @ vecs[:, top]).astype(np.float32)
+    basis = np.zeros((FEATURES, len(top)), np.float32)
+    basis[at] = q @ vecs[:, top]
+    return basis
+
+
+def indexed_passages(words: list[bytes]) -> list[list[bytes]]:
+    """An item and, of a long one, its overlapping passages: what is searched for."""
+    starts = range(0, len(words) - BLOCK_WORDS, BLOCK_WORDS) if len(words) > PASSAGE_WORDS else ()
+    return [words, *(words[i : i + PASSAGE_WORDS] for i in starts)]
 
 
-def sample_passages(docs: DataFrame, items: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """``(text, weight)``: passages of all ``items(t)`` and of ``SAMPLE_DOCS`` of the ``n`` documents, about, drawn by a hash of id and text.
+def item_passages(items: DataFrame) -> DataFrame:
+    """``(text, weight)``: all that is indexed of all ``items(t)``, which the decomposition is fitted on.
 
-    The items' passages weigh as much in all as those of the sample, so that they shape the
-    basis however few they are; the sample relates other words to theirs.
+    The benchmark is the collection that is searched, for every passage of every
+    document; documents take part by their frequencies, which are those of all.
     """
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    drawn = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(0).to_pylist():
-                words = words_of(t)
-                for lo in range(0, len(words), 256 * PASSAGE_WORDS):
-                    part = [b" ".join(words[i : i + PASSAGE_WORDS]) for i in range(lo, min(len(words), lo + 256 * PASSAGE_WORDS), PASSAGE_WORDS)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).cast(pa.string())], ["text"])
+                part = [b" ".join(p) for p in indexed_passages(words_of(t)) if p]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).cast(pa.string())], ["text"])
 
-    of = lambda texts, own: texts.mapInArrow(run, "text string").withColumn("own", F.lit(own))
-    passages = stored(of(docs.where(drawn).select(F.col(text_col).alias("t")).distinct(), False).unionByName(of(items.select("t"), True)), "passages")
-    counts = dict(passages.groupBy("own").count().collect())
-    weight = (max(counts.get(False, 0), 1) / max(counts.get(True, 0), 1)) ** 0.5
-    return passages.select("text", F.when(F.col("own"), weight).otherwise(1.0).cast("float").alias("weight"))
+    return items.select("t").mapInArrow(run, "text string").withColumn("weight", F.lit(1.0).cast("float"))
 
 
 def gram_length(n: int) -> int:
@@ -330,7 +331,8 @@ def grams_of(items: list[list[bytes]], answers: list[list[bytes]]) -> list[Grams
 class Index:
     """What a task needs to search one block of items."""
 
-    projection: np.ndarray  # FEATURES + 1 x r, already times idf, and a row of zeros
+    projection: np.ndarray  # a row of the basis for each feature that it has, already times idf, and a row of zeros
+    row: np.ndarray  # of each feature in the projection
     idf2: np.ndarray
     latent: np.ndarray  # r x columns, unit vectors of items and of the passages of long items
     owner: np.ndarray  # item of each column
@@ -346,9 +348,8 @@ def build_index(items: list[tuple], basis: np.ndarray, idf: np.ndarray) -> Index
     texts, answers = [words_of(t) for _, t in items], [answer_of(t) for _, t in items]
     parts, owner = [], []
     for k, words in enumerate(texts):
-        starts = range(0, len(words) - BLOCK_WORDS, BLOCK_WORDS) if len(words) > PASSAGE_WORDS else ()
-        parts += [words, *(words[i : i + PASSAGE_WORDS] for i in starts)]
-        owner += [k] * (1 + len(starts))
+        parts += (own := indexed_passages(words))
+        owner += [k] * len(own)
     latent = np.zeros((basis.shape[1], len(parts)), np.float32)
     floor = np.zeros(len(parts), np.float32)
     for c, words in enumerate(parts):
@@ -358,8 +359,11 @@ def build_index(items: list[tuple], basis: np.ndarray, idf: np.ndarray) -> Index
         latent[:, c] = y / max(size, 1e-12)
         filled = min(1.0, len(words) / PASSAGE_WORDS)  # share of a passage that the item can make up
         floor[c] = CANDIDATE * size * filled**0.5 if size > 1e-9 else -1.0  # an item outside the basis is always checked
-    projection = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-    return Index(projection, idf**2, latent, np.array(owner, np.int64), floor, grams_of(texts, answers), [i for i, _ in items], texts, answers)
+    at = np.flatnonzero(basis.any(axis=1))
+    row = np.full(FEATURES, len(at), np.int32)
+    row[at] = np.arange(len(at))
+    projection = np.vstack([basis[at] * idf[at, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
+    return Index(projection, row, idf**2, latent, np.array(owner, np.int64), floor, grams_of(texts, answers), [i for i, _ in items], texts, answers)
 
 
 def candidates(index: Index, w: Words) -> Iterator[tuple[int, int, int, float]]:
@@ -377,7 +381,7 @@ def candidates(index: Index, w: Words) -> Iterator[tuple[int, int, int, float]]:
     starts = np.repeat(w.bounds[:-1] - BLOCK_WORDS * block0, blocks) + BLOCK_WORDS * np.arange(blocks.sum())
     mass = np.add.reduceat(np.take(index.idf2, w.features), starts)
     size = np.sqrt(np.maximum(mass[low] + np.where(high > low, mass[high], 0), 1e-12))
-    sums = _block_sums(index.projection, w.features, starts)
+    sums = _block_sums(index.projection, np.take(index.row, w.features), starts)
     sums = sums[low] + np.where((high > low)[:, None], sums[high], 0)
 
     hits = [t.hits(w) for t in index.grams]
@@ -403,14 +407,14 @@ def candidates(index: Index, w: Words) -> Iterator[tuple[int, int, int, float]]:
         yield int(text[p]), k, int(within[p]) * BLOCK_WORDS, x
 
 
-def _block_sums(projection: np.ndarray, feats: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of the features' rows of the projection (the last of which is zero) between consecutive ``starts``."""
+def _block_sums(projection: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the words' rows of the projection (the last of which is zero) between consecutive ``starts``."""
     out = np.zeros((len(starts), projection.shape[1]), np.float32)
-    n = np.diff(starts, append=len(feats))
+    n = np.diff(starts, append=len(rows))
     for lo in range(0, len(starts), _STEP_BLOCKS):
         at, size, part = starts[lo : lo + _STEP_BLOCKS], n[lo : lo + _STEP_BLOCKS], out[lo : lo + _STEP_BLOCKS]
         for j in range(BLOCK_WORDS):
-            part += np.take(projection, np.where(j < size, np.take(feats, at + j, mode="clip"), FEATURES), axis=0)
+            part += np.take(projection, np.where(j < size, np.take(rows, at + j, mode="clip"), len(projection) - 1), axis=0)
     return out
 
 
@@ -448,14 +452,14 @@ def matches(index: Index, w: Words) -> Iterator[tuple[int, int, float, float, fl
         yield t, k, c, s, a
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> Iterator[Index]:
+def _indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str) -> Iterator[Index]:
     df, n = document_frequencies(docs, text_col)
     idf = inverse_frequencies(df, n)
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL").distinct()
     words = F.size(F.split("t", r"\s+")) + F.regexp_count("t", F.lit(f"[{UNSPACED}]"))
     columns = items.agg(F.sum(1 + F.floor(words / BLOCK_WORDS))).first()[0] or 0
     blocks = max(1, -(-columns // ITEM_BLOCK))
-    basis = latent_basis(sample_passages(docs, items, n, id_col, text_col).coalesce(SVD_TASKS * blocks), idf)
+    basis = latent_basis(item_passages(items).coalesce(SVD_TASKS * blocks), idf)
     block = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
     for b in range(blocks):
         rows = items.where(block == b).collect()  # at most about ITEM_BLOCK passages of items
@@ -481,7 +485,7 @@ def contaminated(
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     schema = f"id {kind}, item {item_kind.simpleString()}, cosine double, lcs_share double, answer_share double"
     spark, out = docs.sparkSession, None
-    for index in _indexes(docs, benchmark, id_col, text_col, item_col, item_text):
+    for index in _indexes(docs, benchmark, text_col, item_col, item_text):
         shared = spark.sparkContext.broadcast(index)  # FEATURES x RANK and at most about ITEM_BLOCK passages
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -506,7 +510,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     empty; repeated rows go or stay together; other columns may have any names.
     """
     spark, at, kept = docs.sparkSession, docs.columns.index(text_col), docs
-    for index in _indexes(docs, benchmark, id_col, text_col, item_col, item_text):
+    for index in _indexes(docs, benchmark, text_col, item_col, item_text):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
