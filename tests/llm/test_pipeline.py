@@ -57,3 +57,15 @@ def test_stages_take_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_pa
             assert docs.columns[-6:] == ["_rk", "id", "_drops", "fp", "_n_dropped", "shard"]
             assert docs.where("doc_id = 900003").count() == 1 or name != "quality"
     assert docs.count() > 0
+
+
+def test_decontamination_is_fitted_on_all_items_and_no_sample(spark, monkeypatch):
+    """The stage's basis comes from every item of the benchmark and from no document; its projection has their features only."""
+    fit, build, seen, made = decontaminate.latent_basis, decontaminate.build_index, [], []
+    monkeypatch.setattr(decontaminate, "latent_basis", lambda passages, *a: seen.append({r.text for r in passages.collect()}) or fit(passages, *a))
+    monkeypatch.setattr(decontaminate, "build_index", lambda *a: made.append(build(*a)) or made[-1])
+    sf = "/root/testdata/sf0.001"
+    kept = corpus_pipeline.decontamination(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    items = [decontaminate.words_of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text]
+    assert kept.columns and seen == [{b" ".join(p).decode() for w in items if w for p in decontaminate.indexed_passages(w)}]
+    assert len(made[0].projection) <= len({f for w in items for f in decontaminate.features_of(w).tolist()}) + 1
