@@ -1,9 +1,12 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tidefold.llm import common
 from tidefold.llm import decontaminate as dc
 
 
@@ -197,3 +200,35 @@ def test_basis_is_fitted_on_the_whole_benchmark(spark):
     sizes = [min(1.0, len(p) / dc.PASSAGE_WORDS) for w in index.words for p in dc.indexed_passages(w)]
     assert 40 < len(sizes) <= dc.RANK
     assert np.allclose(index.floor, dc.CANDIDATE * np.sqrt(sizes), rtol=0.01)  # each has the length 1 within the basis
+
+
+def test_a_worker_holds_few_texts_of_a_batch_at_once():
+    """10,000 rows are one batch of Spark: 20 MB of text there were over 60 MB of Python objects and arrays."""
+    column = pa.array([f"w{i} some words {i % 7} " * 100 for i in range(10_000)])
+    tracemalloc.start()
+    try:
+        n = sum(len(w.texts) for _, w in dc.read_batches(column))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 10_000 and column.nbytes > 18e6 and peak < 30e6
+
+
+def test_slices_of_a_column_keep_all_values_in_order():
+    rows = [None, "", "é" * 50, "x", None, "y" * 1000, "", "z", None]
+    for column in (pa.array(rows), pa.array(["a", *rows, "b"]).slice(1, len(rows)), pa.array([r and r.encode() for r in rows], pa.binary())):
+        for size in (1, 3, 101, 1 << 20):
+            slices = list(common.parts(column, size))
+            assert [v for p in slices for v in p.to_pylist()] == column.to_pylist() == list(common.values(column))
+            assert all(len(p) == 1 or sum(len(v.encode() if isinstance(v, str) else v) for v in p.to_pylist() if v) <= size for p in slices)
+    assert list(common.values(pa.array([], pa.string()))) == []
+
+
+def test_the_fit_has_one_python_step_in_a_stage(spark, monkeypatch):
+    """Passages are dealt out anew before they are summed: two steps in one stage take two workers for each task."""
+    seen = []
+    monkeypatch.setattr(dc, "latent_basis", lambda passages, idf: seen.append(passages) or np.zeros((dc.FEATURES, 0), np.float32))
+    docs = spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string")
+    dc.contaminated(docs, docs.selectExpr("doc_id AS item_id", "text"))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Repartition ") and ", true" in plan.split("\n")[0]

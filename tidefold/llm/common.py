@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +69,25 @@ def wide_hash(*cols: str) -> Column:
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *cols).alias("b"))
 
 
+def parts(column: pa.Array, size: int = 1 << 18) -> Iterator[pa.Array]:
+    """A column of texts or bytes in slices of about ``size`` bytes, one value at least, in order.
+
+    A batch of Spark has up to 10,000 rows; turned into Python objects at once, it would stay in the worker's memory.
+    """
+    ends = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype("int64").cumsum()
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(ends.searchsorted((ends[lo - 1] if lo else 0) + size, side="right")))
+        yield column.slice(lo, hi - lo)
+        lo = hi
+
+
+def values(column: pa.Array) -> Iterator:
+    """The values of a column of texts or bytes as Python objects, few of them at a time."""
+    for part in parts(column):
+        yield from part.to_pylist()
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A 128-bit key of a row's id and text; equal rows have the same."""
     return wide_hash(id_col, text_col)

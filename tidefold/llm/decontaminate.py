@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidefold.llm.common import table
+from tidefold.llm.common import table, values
 from tidefold.llm.words import piece_hashes
 
 #: Hashed TF-IDF features, and the rank and oversampling of the decomposition.
@@ -99,7 +99,7 @@ def read_words(texts: list[bytes]) -> Words:
 def read_batches(column: pa.Array) -> Iterator[tuple[int, Words]]:
     """The texts of a column by parts of about ``STEP_BYTES``: number of the first, and their words."""
     texts, size, first = [], 0, 0
-    for i, t in enumerate(column.to_pylist()):
+    for i, t in enumerate(values(column)):
         texts.append(_blanked(t))
         size += len(texts[-1])
         if size >= STEP_BYTES:
@@ -459,7 +459,8 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
     words = F.size(F.split("t", r"\s+")) + F.regexp_count("t", F.lit(f"[{UNSPACED}]"))
     columns = items.agg(F.sum(1 + F.floor(words / BLOCK_WORDS))).first()[0] or 0
     blocks = max(1, -(-columns // ITEM_BLOCK))
-    basis = latent_basis(item_passages(items).coalesce(SVD_TASKS * blocks), idf)
+    # dealt out anew: two Python steps in one stage would be two workers for each task, and idle workers keep what they loaded
+    basis = latent_basis(item_passages(items).repartition(SVD_TASKS * blocks), idf)
     block = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
     for b in range(blocks):
         rows = items.where(block == b).collect()  # at most about ITEM_BLOCK passages of items

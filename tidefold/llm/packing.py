@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import stored, table
+from tidefold.llm.common import parts, stored, table, values
 from tidefold.llm.tokens import encoder
 
 WINDOW = 1024
@@ -21,8 +21,6 @@ SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
 #: Bytes of ids in a sorted partition, about, where the session's shuffle partitions would be larger.
 PARTITION_BYTES = 128 << 20
-#: Texts encoded at once.
-_STEP = 256
 
 
 class BM25:
@@ -133,18 +131,18 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
         end = np.zeros(1, encode.dtype).tobytes()
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            for lo in range(0, b.num_rows, _STEP):
-                part = b.slice(lo, _STEP)
-                ids = [x.tobytes() + end for x in encode.encode_all(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arange(row, row + len(ids))), pa.array(ids, pa.binary())], ["id", "row", "ids"])
-                row += len(ids)
+            lo = 0
+            for part in parts(b.column(1)):
+                ids = [x.tobytes() + end for x in encode.encode_all(part.to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(ids)), pa.array(np.arange(row, row + len(ids))), pa.array(ids, pa.binary())], ["id", "row", "ids"])
+                lo, row = lo + len(ids), row + len(ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, row bigint, ids binary")
 
 
-def _arrays(column: pa.Array, dtype: np.dtype) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype) for x in column.to_pylist()]
+def _arrays(column: pa.Array, dtype: np.dtype) -> Iterator[np.ndarray]:
+    return (np.frombuffer(x, dtype) for x in values(column))
 
 
 def token_frequencies(tokens: DataFrame, vocabulary: str | None = None) -> tuple[np.ndarray, int, int]:
@@ -235,7 +233,7 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
         for shard in _shards(batches, dtype.itemsize, shard_docs):
-            data = _arrays(shard.column(1), dtype)
+            data = [x for c in shard.column(1).chunks for x in _arrays(c, dtype)]
             pieces = np.array(pack(data, idf, mean, window), np.int64).T
             which, start, length, number, offset = pieces
             ids = [data[i][a : a + n].astype("<u4").tobytes() for i, a, n in zip(*pieces[:3].tolist())]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import hash_unit, table
+from tidefold.llm.common import hash_unit, table, values
 
 #: Bounds on the labelled rows a model is fitted on.
 MAX_TRAIN_ROWS = 20_000
@@ -205,7 +205,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [statistics(t)[1] for t in b.column(2).to_pylist()]
+            f = [statistics(t)[1] for t in values(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.list_(pa.float64()))], ["id", "y", "f"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -237,7 +237,7 @@ def score_quality(docs: DataFrame, model: Trees | None, id_col: str = "doc_id",
         for b in batches:
             if not b.num_rows:
                 continue
-            both = [statistics(t) for t in b.column(1).to_pylist()]
+            both = [statistics(t) for t in values(b.column(1))]
             counts = np.array([x for x, _ in both], np.int64)
             score = model.score(np.array([f for _, f in both])) if model else np.ones(len(both))
             failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
@@ -264,7 +264,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for b in batches:
             if not b.num_rows:
                 continue
-            both = [statistics(t) for t in b.column(at).to_pylist()]
+            both = [statistics(t) for t in values(b.column(at))]
             counts = np.array([x for x, _ in both], np.int64)
             failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
             kept = ~failed

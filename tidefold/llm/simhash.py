@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import fresh, row_key, stored, table
+from tidefold.llm.common import fresh, row_key, stored, table, values
 from tidefold.llm.components import connected_components
 
 SEED = 42
@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [_signed(fingerprint(t, shingle)) for t in batch.column(2).to_pylist()]
+            fps = [_signed(fingerprint(t, shingle)) for t in values(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["id", "rk", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -124,7 +124,7 @@ def wide_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [wide_print(t) for t in batch.column(2).to_pylist()]
+            done = [wide_print(t) for t in values(batch.column(2))]
             words = [pa.array([_signed(d[1][i]) for d in done], pa.int64()) for i in range(len(WIDE))]
             fps, parts = pa.array([_signed(d[0]) for d in done], pa.int64()), pa.array([d[2] for d in done], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, *words, parts], ["id", "rk", "fp", *WIDE, "parts"])

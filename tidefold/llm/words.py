@@ -9,7 +9,7 @@ _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _LETTER = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers = {_MULTIPLIER: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
 #: Positions for which powers are kept; longer buffers are hashed part by part.
-_KEPT = 1 << 20
+_KEPT = 1 << 18
 
 
 def _power(base: int, n: int) -> np.ndarray:
